@@ -7,14 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits
-from .common import table
+from . import bpe, edits, language, mixing, quality, shingles, topk
+from .common import crc_mod, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,8 +35,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = crc_mod("doc_id", 3)
+    model = language.train(docs, F.expr(f"{part} <> 1"))
+    return language.predict(docs, model).select("doc_id", F.expr(f"{part} = 1").alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = crc_mod("doc_id", 5)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), F.expr(f"{part} <> 0"))
+    scored = quality.predict(docs, model)
+    return scored.select("doc_id", F.expr(f"{part} = 0").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
