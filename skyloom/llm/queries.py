@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edits, language, lines, mixing, quality, shingles, topk
+from . import bpe, edits, language, lines, lm, mixing, quality, shingles, topk
 from .common import crc_mod, table
 
 
@@ -19,6 +19,14 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = crc_mod("doc_id", 10)
+    model = lm.train(docs.where(f"{part} <> 0"))
+    out = lm.score(docs, model)
+    return out.select("doc_id", F.expr(f"{part} = 0").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256.0)
