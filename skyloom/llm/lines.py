@@ -13,7 +13,7 @@ the line goes. Keys are chained hashes from either end, so a line of n words cos
 
 Null text stays null. Rows that share an id count as one document and keep or lose their lines alike; a null id
 comes before all others. A document whose lines all go has empty text. Repeated lines within a document count
-like any others. An empty table gives no rows; all columns are kept.
+like any others. An empty table gives no rows; all columns are kept but n_lines and n_kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -84,13 +84,15 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_column: str =
     lines = lines.select("doc_id", "pos", _words("line").alias("w")).withColumn("n", F.size("w")).where("n > 0")
     distinct, near = dropped(lines, plain, min_words)
     kept = distinct.join(near, "h", "left_anti").groupBy(F.col("first.doc_id").alias("kept_id")).agg(F.collect_list("first.pos").alias("kept_at"))
-    joined = docs.join(kept, docs[id_column].eqNullSafe(kept["kept_id"]), "left")
-    every = F.split(F.col(text_column), "\n")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left")
+    every = F.split("text", "\n")
     blank = F.filter(F.transform(every, lambda x, i: F.when(F.regexp_like(x, F.lit(WORD)), -1).otherwise(i)), lambda i: i >= 0)
     some = F.coalesce("kept_at", F.array().cast("array<int>"))
     places = F.array_sort(F.concat(some, blank))
     text = F.array_join(F.transform(places, lambda p: F.get(every, p)), "\n")
     count = F.size(every) - F.size(blank)
-    none = F.col(text_column).isNull()
-    out = [text.alias(c) if c == text_column else docs[c] for c in docs.columns]
+    none = F.col("text").isNull()
+    out = [text.alias(c) if c == text_column else F.col(f"row.`{c}`") for c in columns]
     return joined.select(*out, F.when(none, 0).otherwise(count).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size(some)).cast("long").alias("n_kept"))

@@ -165,16 +165,16 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_column: s
 
 
 def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of docs with `score`, for every row; docs may not have a column of that name."""
+    """All columns of docs with `score` (in place of a column of that name), for every row."""
     import pyspark.sql.types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    place = docs.columns.index(text_column)
+    columns = [c for c in docs.columns if c.lower() != "score"]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_column).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score(data, offsets, model) for _, _, data, offsets in chunks(batch.column(place))]
-            columns = [*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score"])
+            found = [score(data, offsets, model) for _, _, data, offsets in chunks(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("row.*", "score")
