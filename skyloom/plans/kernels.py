@@ -1 +1,81 @@
-"""Queries."""
+"""Queries of the array kernels; SQL cannot express them, so the tests hold goldens. Those with an oracle can be."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import kernels as op
+from ..operators import night
+from ..registry import query
+from ..sources.views import patch_px
+
+
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patch_px(spark, sf_dir).withColumn("v", F.floor((F.col("v") + 0.6) * 200).cast("double"))
+
+
+@query("fft_gate")
+def fft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = op.per_tile_value(patch_px(spark, sf_dir), "tile", lambda a: op.high_frequency_share(a, 4))
+    return d.select("tile", F.round("out", 6).alias("hf_ratio"), (F.col("out") < 0.15).alias("reject"))
+
+
+@query("edt", """SELECT a.tile, a.y, a.x, CASE WHEN a.v <= 0 THEN 0 ELSE round(min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))), 6) END AS distance FROM patch_px a JOIN patch_px b ON a.tile = b.tile AND b.v <= 0 GROUP BY 1, 2, 3, a.v""", "patch_px")
+def edt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbounded distance transform of the positive pixels."""
+    d = op.per_tile(patch_px(spark, sf_dir), "tile", lambda a: op.distance_transform(a > 0))
+    return d.where("out < double('Infinity')").select("tile", "y", "x", F.round("out", 6).alias("distance"))
+
+
+@query("components", """WITH RECURSIVE m AS (SELECT vec_id AS tile, pos // 8 AS y, pos % 8 AS x, pos + 1 AS i FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS v0 FROM embeddings) WHERE round(v0::DOUBLE, 6) > 0.15 AND vec_id < 100),
+  r AS (SELECT tile, i AS root, y, x FROM m UNION SELECT r.tile, r.root, m.y, m.x FROM r JOIN m ON m.tile = r.tile AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1)
+  SELECT tile, y, x, min(root) AS label FROM r GROUP BY 1, 2, 3""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8-connected clusters of bright pixels, named by their first pixel."""
+    d = op.per_tile(patch_px(spark, sf_dir).where("tile < 100"), "tile", lambda a: op.connected(a > 0.15).astype(float))
+    return d.where("out > 0").select("tile", "y", "x", F.col("out").cast("long").alias("label"))
+
+
+@query("clahe")
+def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.per_tile(_bytes(spark, sf_dir), "tile", lambda a: op.clahe(a, 2.0, 4)).select("tile", "y", "x", F.round("out", 4).alias("v"))
+
+
+@query("canny")
+def canny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.per_tile(_bytes(spark, sf_dir), "tile", lambda a: op.canny(a, 50, 150)).select("tile", "y", "x", F.col("out").alias("edge"))
+
+
+@query("bicubic")
+def bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((8, 8))
+        a[p["y"], p["x"]] = p["v"]
+        out = op.bicubic(a, 16, 16)
+        y, x = np.indices(out.shape)
+        return pd.DataFrame({"tile": p["tile"].iloc[0], "y": y.ravel(), "x": x.ravel(), "v": out.ravel().round(6)})
+
+    return patch_px(spark, sf_dir).select("tile", "y", "x", "v").groupBy("tile").applyInPandas(run, "tile long, y int, x int, v double")
+
+
+@query("dither")
+def dither(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.per_tile(patch_px(spark, sf_dir), "tile", op.dither).select("tile", "y", "x", F.round("out", 6).alias("v"))
+
+
+@query("night_composite")
+def night_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last steps of the night mosaic: stretch, equalise, label, measure, kill, snap."""
+    px = patch_px(spark, sf_dir)
+    stretched = night.stretch(px, ["tile"]).withColumn("v", F.col("byte").cast("double"))
+    even = op.per_tile(stretched, "tile", lambda a: op.clahe(a, 2.0, 4)).withColumnRenamed("out", "v")
+    labels = op.per_tile(even, "tile", lambda a: op.connected(a > 20).astype(float)).withColumnRenamed("out", "label")
+    d = even.join(labels, ["tile", "y", "x"]).join(px.select("tile", "biome").distinct(), "tile")
+    lit = d.where("label > 0")
+    stats = night.cluster_stats(lit, ["tile", "biome", "label"]).join(night.entropy(lit, ["tile", "label"], "v", 0.0, 255.0), ["tile", "label"])
+    dead = stats.where(night.kill(F.col("biome"), F.col("area"), F.col("std"), F.col("peak"), F.col("entropy"), F.lit(0.0))).select("tile", "label", F.lit(True).alias("dead"))
+    v = F.floor(F.round("v", 6))
+    return d.join(dead, ["tile", "label"], "left").select("tile", "y", "x", F.when(F.col("dead") | (v < 50), 0).otherwise(v).cast("long").alias("v"))

@@ -50,8 +50,10 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons (zone, name, region, ring): a box or a triangle about a centre for each nation."""
     n = read(spark, sf_dir, "nation").selectExpr("n_nationkey zone", "n_name name", "n_regionkey region", "cast(n_nationkey * 53 % 320 - 160 as double) cx", "cast(n_nationkey * 37 % 140 - 70 as double) cy", "10D + n_nationkey % 7 half")
-    box = "array(struct(cx - half as lon, cy - half as lat), struct(cx + half, cy - half), struct(cx + half, cy + half), struct(cx - half, cy + half))"
-    triangle = "array(struct(cx - half as lon, cy - half as lat), struct(cx + half, cy - half), struct(cx, cy + half))"
+    corner = "named_struct('lon', {}, 'lat', {})"
+    low = [corner.format("cx - half", "cy - half"), corner.format("cx + half", "cy - half")]
+    box = f"array({', '.join([*low, corner.format('cx + half', 'cy + half'), corner.format('cx - half', 'cy + half')])})"
+    triangle = f"array({', '.join([*low, corner.format('cx', 'cy + half')])})"
     return n.selectExpr("zone", "name", "region", "cx", "cy", "half", f"if(zone % 3 = 0, {triangle}, {box}) ring")
 
 
