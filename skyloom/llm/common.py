@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of shuffles that are done with, which Spark does when the driver collects its garbage, and of written tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    for path in [f for t in tables for f in t.inputFiles()[:1]]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ the two has MIN_WORDS words or more. Earlier lines count even if they go themsel
 
 Distinct lines are found by hashes of their words. Two lines one edit apart have their first or last half of words
 in common (the shorter one's length m gives halves of floor(m / 2) words), so only lines that share such a half with
-another one go on. These emit a hashed key for each place: the words before it with those after it, the place's
+another one go on. These emit a hashed key for each place where the edit may be: the words before it with those after it, the place's
 word deleted (a deletion variant), or with none deleted (the line whole, cut there). All lines of a key are then
 within one edit of each other, so each needs only the key's earliest line; the pair's words are compared before
 the line goes. Keys are chained hashes from either end, so a line of n words costs n.
@@ -21,14 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 
 MIN_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _words(line: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+def _words(line: Column) -> Column:
+    """The words of a line; splitting at blanks is much cheaper than matching words."""
+    low = F.lower(line)
+    odd = low.contains("\t") | low.contains("\x0b") | low.contains("\x0c") | low.contains("\r") | low.contains("\n")
+    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\x0b\x0c\r\n", "     ")).otherwise(low), " "), "")
 
 
 def _half(m: Column, side: int) -> Column:
@@ -51,22 +54,33 @@ def dropped(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> tu
     hashed = lines.select("doc_id", "pos", F.xxhash64("w").alias("h"), "n", *[k.alias(f"k{i}") for i, k in enumerate(halves)])
     distinct = hashed.groupBy("h", "n").agg(F.min(F.struct("doc_id", "pos")).alias("first"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)])
     distinct = saved(distinct, "lines")
-    keys = distinct.where(n >= m).select("h", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("key")).where("key is not null")
+    release(distinct.sparkSession)
+    sides = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i % 2).alias("side")) for i in range(4)])
+    keys = distinct.where(n >= m).select("h", F.explode(sides).alias("k")).where("k.key is not null").select("h", "k.key", "k.side")
     by = Window.partitionBy("key")
-    shared = keys.select("h", F.min("h").over(by).alias("low"), F.max("h").over(by).alias("high")).where("low <> high").select("h").distinct()
-    asked = distinct.join(shared, "h").select("h", "n", "first")
-    wanted = asked.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "h", "n", "first")).alias("wanted"))
+    shared = keys.select("h", "side", F.min("h").over(by).alias("low"), F.max("h").over(by).alias("high")).where("low <> high")
+    shared = shared.groupBy("h").agg(F.bool_or(F.col("side") == 0).alias("front"), F.bool_or(F.col("side") == 1).alias("back"))
+    # with but the first half in common the edit is behind it, with but the last one before it
+    half = F.floor((n - 1) / 2).cast("int")
+    low, high = F.when(~F.col("back"), half).otherwise(0), F.when(~F.col("front"), n - half).otherwise(n)
+    asked = distinct.join(shared, "h").select("h", "n", "first", low.alias("low"), high.alias("high"))
+    wanted = asked.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "h", "n", "first", "low", "high")).alias("wanted"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
-    texts = texts.select("x.h", "x.n", "x.first", _words(F.get("all", F.col("x.pos"))).alias("w"))
+    texts = texts.select("x.h", "x.n", "x.first", "x.low", "x.high", _words(F.get("all", F.col("x.pos"))).alias("w"))
     # rows that share an id may hold other lines at the place
     texts = saved(texts.where(F.xxhash64("w") == F.col("h")).dropDuplicates(["h", "n"]), "texts")
-    chained = texts.select("h", "n", "first", _chain(True).alias("p"), F.reverse(_chain(False)).alias("q"))
+    release(distinct.sparkSession)
+    chained = texts.select("h", "n", "low", "high", _chain(True).alias("p"), F.reverse(_chain(False)).alias("q"))
     # p[i]: the words before place i; q[i]: the words from place i on
-    variants = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get("p", i), F.get("q", i + 1), n - 1))
-    cuts = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.get("p", i), F.get("q", i), n))
-    keyed = chained.select("h", "first", F.explode(F.array_distinct(F.concat(variants, cuts))).alias("key"))
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("first", "h")).alias("e"), F.max(F.struct("first", "h")).alias("l")).where("e.h <> l.h").select("key", F.col("e.first").alias("first2"), F.col("e.h").alias("h2"))
-    pairs = keyed.join(earliest, "key").where("h <> h2 and first2 < first").select("h", "h2").distinct()
+    variants = F.transform(F.sequence(F.col("low"), F.least(F.col("high"), n - 1)), lambda i: F.xxhash64(F.get("p", i), F.get("q", i + 1), n - 1))
+    cuts = F.transform(F.sequence(F.col("low"), F.col("high")), lambda i: F.xxhash64(F.get("p", i), F.get("q", i), n))
+    keyed = chained.select("h", F.explode(F.array_distinct(F.concat(variants, cuts))).alias("key"))
+    # most keys have one line; the others are few enough to carry the lines' places
+    met = keyed.select("h", "key", F.min("h").over(by).alias("low"), F.max("h").over(by).alias("high")).where("low <> high").select("h", "key")
+    met = saved(met, "met").join(texts.select("h", "first"), "h")
+    release(distinct.sparkSession)
+    earliest = met.groupBy("key").agg(F.min(F.struct("first", "h")).alias("e"))
+    pairs = met.join(earliest, "key").where("e.h <> h and e.first < first").select("h", F.col("e.h").alias("h2")).distinct()
     one, two = texts.select("h", F.col("w").alias("a")), texts.select(F.col("h").alias("h2"), F.col("w").alias("b"))
     both = pairs.join(one, "h").join(two, "h2")
     short, long = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
@@ -74,25 +88,27 @@ def dropped(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> tu
     rest_a = F.slice("a", F.col("at") + F.when(F.size("a") >= F.size("b"), 1).otherwise(0), F.size("a"))
     rest_b = F.slice("b", F.col("at") + F.when(F.size("b") >= F.size("a"), 1).otherwise(0), F.size("b"))
     near = both.withColumn("at", differ).where((short >= m) & (long - short <= 1) & (rest_a == rest_b))
-    return distinct, near.select("h").distinct()
+    near = saved(near.select("h").distinct(), "near")
+    release(distinct.sparkSession)
+    return distinct, near
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with lines removed from the text column, and `n_lines`, `n_kept` (lines that are not blank, before and after)."""
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     lines = plain.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", _words("line").alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    lines = lines.select("doc_id", "pos", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     distinct, near = dropped(lines, plain, min_words)
-    kept = distinct.join(near, "h", "left_anti").groupBy(F.col("first.doc_id").alias("kept_id")).agg(F.collect_list("first.pos").alias("kept_at"))
+    kept = distinct.join(near, "h", "left_anti").groupBy(F.col("first.doc_id").alias("kept_id")).agg(F.collect_set("first.pos").alias("kept_at"))
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left")
-    every = F.split("text", "\n")
-    blank = F.filter(F.transform(every, lambda x, i: F.when(F.regexp_like(x, F.lit(WORD)), -1).otherwise(i)), lambda i: i >= 0)
-    some = F.coalesce("kept_at", F.array().cast("array<int>"))
-    places = F.array_sort(F.concat(some, blank))
-    text = F.array_join(F.transform(places, lambda p: F.get(every, p)), "\n")
-    count = F.size(every) - F.size(blank)
+    joined = joined.withColumn("every", F.split("text", "\n")).withColumn("some", F.coalesce("kept_at", F.array().cast("array<int>")))
+    blank = F.filter(F.transform("every", lambda x, i: F.when(F.regexp_like(x, F.lit(WORD)), -1).otherwise(i)), lambda i: i >= 0)
+    joined = joined.withColumn("blank", blank).withColumn("count", F.size("every") - F.size("blank"))
+    joined = joined.withColumn("places", F.array_union("some", "blank"))
+    places = F.array_sort("places")
+    text = F.when(F.size("places") == F.size("every"), F.col("text")).otherwise(F.array_join(F.transform(places, lambda p: F.get("every", p)), "\n"))
     none = F.col("text").isNull()
     out = [text.alias(c) if c == text_column else F.col(f"row.`{c}`") for c in columns]
-    return joined.select(*out, F.when(none, 0).otherwise(count).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size(some)).cast("long").alias("n_kept"))
+    return joined.select(*out, F.when(none, 0).otherwise(F.col("count")).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size("some")).cast("long").alias("n_kept"))
