@@ -16,11 +16,11 @@ document of a class, its smallest id, is compared with others:
   a row. Links found join documents in components. Other hubs are drawn for what is still apart, HUBS times; then
   each document outside the largest component of its key meets all of the key's in other components whose size
   allows a link. So every pair that may link is either verified or known to be connected.
-- Verification intersects the sorted sets.
+- Verification first compares what the prefixes tell, then intersects the whole sorted sets.
 
 Null or blank text has an empty set, which links with nothing. Repeated rows and rows with equal sets share a
-component. Rows with a null id are kept out of the join and are their own component (null). Very long texts are read
-whole; columns besides id and text do not matter; an empty table gives no rows.
+component. Null ids take part, but a component's id is null only if all its ids are. Very long texts are read whole;
+columns besides id and text do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, mix, saved, words
+from .common import chunks, crc_mod, mix, release, saved, words
 from .components import components
 
 WORDS, PER_CENT = 5, 75
-SAMPLE, FREQUENT, LISTED, HUBS = 16, 4, 100_000, 3
+SAMPLE, FREQUENT, LISTED, HUBS = 8, 2, 1_500_000, 3
 
 
 def sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -61,23 +61,43 @@ def sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
-    """The keys under which a set is indexed."""
+def keys_of(own: np.ndarray, frequent: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed, and its first shingles in the common order (prefix + 1 of them, or all)."""
     n = len(own)
     if not n:
-        return own
+        return own, own
     prefix = n - -(-per_cent * n // 100) + 1
     if not len(frequent):
-        return own[:prefix]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    common = frequent[at] == own
+        return own[:prefix], own[: prefix + 1] >> np.uint64(1)
+    common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
     rare = own[~common][: prefix + 1]
     if len(rare) > prefix:
-        return rare
+        return rare, rare >> np.uint64(1)
     rest = own[common]
+    first = np.concatenate((rare >> np.uint64(1), rest[: prefix + 1 - len(rare)] >> np.uint64(1) | np.uint64(1 << 63)))
     pairs = mix(rest[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(rest[1:]))
-    # a set of frequent shingles alone may hold but one
-    return np.concatenate((rare, pairs if len(rest) > 1 else rest))
+    # a set may hold but one frequent shingle
+    return np.concatenate((rare, pairs if len(rest) > 1 else rest)), first
+
+
+def rounded(first: np.ndarray, n: int) -> np.ndarray:
+    """The first shingles of a set of n as sorted 16-bit (in large sets 32-bit) values: rounding keeps their order."""
+    return (first >> np.uint64(48)).astype(np.uint16) if n <= 4096 else (first >> np.uint64(32)).astype(np.uint32)
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, per_cent: int = PER_CENT) -> bool:
+    """Whether sets of n and m shingles with these rounded first ones can still link: up to where both are known, the
+    shingles in but one of them must not outnumber what a link allows. Rounding may only take different ones for equal."""
+    sides = [np.frombuffer(v, dtype=np.uint16 if k <= 4096 else np.uint32).astype(np.int64) for v, k in ((x, n), (y, m))]
+    if (n <= 4096) != (m <= 4096):
+        sides = [v if k <= 4096 else v >> 16 for v, k in zip(sides, (n, m), strict=True)]
+    known = min([int(v[-1]) for v, k in zip(sides, (n, m), strict=True) if len(v) < k], default=None)
+    if known is not None:
+        sides = [v[: np.searchsorted(v, known)] for v in sides]
+    # equal values are told apart by how often they came before
+    sides = [(v << 24) + np.arange(len(v)) - np.searchsorted(v, v) for v in sides]
+    apart = len(sides[0]) + len(sides[1]) - 2 * len(np.intersect1d(*sides, assume_unique=True))
+    return apart * (100 + per_cent) <= (100 - per_cent) * (n + m)
 
 
 def _frequent(docs: DataFrame, size: int) -> np.ndarray:
@@ -90,42 +110,68 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
                 value, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["h", "n"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["h"])
+
     sample = docs.where(crc_mod("doc_id", SAMPLE) + " = 0").select("text").distinct()
-    top = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "h").limit(LISTED)
-    return np.sort(np.array([r.h for r in top.select("h").collect()], dtype=np.int64).view(np.uint64))
+    found = saved(sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    least, total = FREQUENT, 0
+    for r in found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 1,000 rows
+        total += r["count"]
+        if total > LISTED:
+            least = r.n + 1
+            break
+    rows = found.where(F.col("n") >= least).select("h").mapInArrow(pack, "h binary").collect()  # at most LISTED values
+    release(docs.sparkSession, found)
+    return np.sort(np.concatenate([np.frombuffer(r.h, dtype=np.uint64) for r in rows])) if rows else np.zeros(0, np.uint64)
+
+
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set that equal sets share."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
 def _set_table(docs: DataFrame, size: int) -> DataFrame:
+    """(node, own): the sets of documents (node, text) whose set has that signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1), size)], pa.binary())], names=["rep", "own"])
+                found = [(n, s.tobytes()) for n, s in zip(part.column(0).to_pylist(), sets(part.column(1), size), strict=True) if _signature(s)[0] == n]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, own binary")
+    return docs.mapInArrow(run, "node long, own binary")
 
 
-def _verified(pairs: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _beside(pairs: DataFrame, table: DataFrame, columns: list[str], keep, per_cent: int) -> DataFrame:
+    """The pairs (a, b) for which keep holds of the columns of either's row in table."""
+    width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= per_cent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows = [[c[i] for c in batch.columns[2:]] for i in range(batch.num_rows)]
+            values = [[v.as_py() for v in r] for r in rows]
+            good = [bool(keep(*v[:width], *v[width:], per_cent)) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = table.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = table.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+    return both.mapInArrow(run, "a long, b long")
 
-    left = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
-    both = left.join(own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+def links(x: bytes, y: bytes, per_cent: int = PER_CENT) -> bool:
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= per_cent * (len(x) + len(y) - both)
 
 
 def jaccard_components(docs: DataFrame, *, size: int = WORDS, per_cent: int = PER_CENT, hubs: int = HUBS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id of an equal set,
     component_id the smallest reachable by links."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     frequent = _frequent(docs, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -134,63 +180,113 @@ def jaccard_components(docs: DataFrame, *, size: int = WORDS, per_cent: int = PE
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                number, one, two, keys = [], [], [], []
+                number, one, two, keys, first = [], [], [], [], []
                 for s in sets(part.column(1), size):
                     number.append(len(s))
-                    one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                    two.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                    keys.append(keys_of(s, frequent, per_cent).view(np.int64))
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(number, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat], names=["doc_id", "n", "s1", "s2", "keys"])
-
-    read = docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>")
-    whole = read.where("n > 0 and doc_id is not null")
-    reps = whole.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    many = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    index = saved(keyed.join(many, "key"), "index").distinct()
-    active = saved(index.select("rep").distinct(), "active")
-    own = saved(_set_table(docs.join(active.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), size), "sets")
-    links: list[DataFrame] = []
+                    signature = _signature(s)
+                    one.append(signature[0])
+                    two.append(signature[1])
+                    k, f = keys_of(s, frequent, per_cent)
+                    keys.append(k.tobytes())
+                    # where all keys are shingles alone, they tell the first ones too
+                    first.append(b"" if len(k) == len(f) and (k >> np.uint64(1) == f).all() else f.tobytes())
+                columns = [part.column(0), pa.array(number, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "s2", "keys", "first"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat = [np.unique(np.frombuffer(k.as_buffer(), dtype=np.int64)) for k in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(k) for k in flat])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(flat) if flat else [], pa.int64())], names=["node", "key"])
+
+    read = docs.mapInArrow(run, f"doc_id {kind}, n long, node long, s2 long, keys binary, first binary")
+    whole = read.where("n > 0")
+    reps = whole.groupBy("n", "node", "s2").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"), F.first("first").alias("first"))
+    reps = saved(reps, "reps")
+    by = Window.partitionBy("key")
+    keyed = reps.select("node", "keys").mapInArrow(spread, "node long, key long")
+    index = keyed.select("node", "key", F.min("node").over(by).alias("low"), F.max("node").over(by).alias("high")).where("low <> high").select("node", "key")
+    index = saved(index, "index")
+    release(spark)
+    active = saved(index.select("node").distinct(), "active")
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [f.as_py() or (np.frombuffer(k.as_buffer(), dtype=np.uint64) >> np.uint64(1)).tobytes() for f, k in zip(batch.column(2), batch.column(3), strict=True)]
+            short = [rounded(np.frombuffer(f, dtype=np.uint64), n).tobytes() for f, n in zip(first, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.binary()), batch.column(4)], names=["node", "n", "first", "class_id"])
+
+    sizes = reps.select("node", "n", "first", "keys", "class_id").mapInArrow(starts, f"node long, n long, first binary, class_id {kind}").join(active, "node")
+    sizes = saved(sizes.select("node", "n", "first", "class_id"), "firsts")
+    classes = saved(reps.select("n", "node", "s2", "class_id"), "classes")
+    release(spark, reps)
+    # a document that shares many of its keys is more likely to be what others were made from
+    degree = index.groupBy("node").agg(F.count("*").alias("degree"))
+    index = saved(index.join(sizes.select("node", "n").join(degree, "node"), "node"), "sized")
+    own = spark.createDataFrame([], "node long, own binary")
+    read_before: list[DataFrame] = []
+    found: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels = active.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    labels = active.select("node", F.col("node").alias("label"))
 
-    def verify(pairs: DataFrame) -> int:
-        nonlocal labels
+    def verify(pairs: DataFrame) -> None:
+        nonlocal labels, own
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         tried.append(pairs)
-        found = saved(_verified(pairs, own, per_cent), "links")
-        if not found.limit(1).count():
-            return 0
-        links.append(found)
-        merged = components(reduce(DataFrame.unionByName, links), "a", "b")
-        labels = saved(active.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("node"), F.coalesce("label", "rep").alias("label")), "labels")
-        return 1
+        likely = saved(_beside(pairs, sizes, ["n", "first"], may_link, per_cent), "likely")
+        release(spark)
+        asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        for known in read_before:
+            asked = asked.join(known, "node", "left_anti")
+        asked = saved(asked, "asked")
+        if asked.limit(1).count():
+            read_before.append(asked)
+            wanted = sizes.join(asked, "node").select("node", F.col("class_id").alias("id"))
+            texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("node", "text")
+            own = own.union(saved(_set_table(texts, size), "own"))
+            release(spark)
+        linked = saved(_beside(likely, own, ["own"], links, per_cent), "links")
+        release(spark)
+        if linked.limit(1).count():
+            found.append(linked)
+            merged = components(reduce(DataFrame.unionByName, found), "a", "b")
+            labels = saved(active.join(merged, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+            release(spark)
 
     def apart() -> DataFrame:
         """The index with labels, of the keys with documents in several components."""
-        named = index.join(labels.withColumnRenamed("node", "rep"), "rep")
+        named = index.join(labels, "node")
         split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         return named.join(split, "key")
 
     fits = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2)"
     for turn in range(hubs):
-        rows = saved(apart(), "apart") if turn else index.withColumn("label", F.col("rep"))
-        draw = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("rep", F.lit(turn)))
-        hub = rows.groupBy("key").agg(F.min_by(F.struct("rep", "label", "n"), draw).alias("h")).select("key", F.col("h.rep").alias("b"), F.col("h.label").alias("l2"), F.col("h.n").alias("n2"))
-        verify(rows.join(hub, "key").where(f"label <> l2 and {fits}").select(F.col("rep").alias("a"), "b"))
+        rows = saved(apart(), "apart") if turn else index.withColumn("label", F.col("node"))
+        draw = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
+        hub = rows.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), draw).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.label").alias("l2"), F.col("h.n").alias("n2"))
+        verify(rows.join(hub, "key").where(f"label <> l2 and {fits}").select(F.col("node").alias("a"), "b"))
     rows = saved(apart(), "apart")
     each = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
     main = each.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    outside = rows.join(main, "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("l1"), "n")
-    inside = rows.select("key", F.col("rep").alias("b"), F.col("label").alias("l2"), F.col("n").alias("n2"))
-    verify(outside.join(inside, (outside["key"] == inside["key"]) & (F.col("l1") != F.col("l2")) & F.expr(fits)).select("a", "b"))
-    classes = reps.select("n", "s1", "s2", "rep")
-    merged = labels.where("node <> label").select(F.col("node").alias("rep"), "label")
-    named = saved(classes.join(merged, "rep", "left").select("n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "classes")
-    out = read.drop("keys").join(named, ["n", "s1", "s2"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), "doc_id").alias("class_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
-    return out
+    # a pair that shares both documents' key before this one too is met there
+    before = F.lag("key").over(Window.partitionBy("node").orderBy("key"))
+    rows = saved(rows.withColumn("before", before), "rows")
+    outside = rows.join(main, "key").where("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("l1"), "n", F.col("before").alias("b1"))
+    inside = rows.select("key", F.col("node").alias("b"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("before").alias("b2"))
+    new = F.col("b1").isNull() | F.col("b2").isNull() | (F.col("b1") != F.col("b2"))
+    # of two documents outside the key's largest component, one is enough to bring the pair
+    once = (F.col("a") < F.col("b")) | (F.col("l2") == F.col("main"))
+    outside = outside.join(main, "key")
+    verify(outside.join(inside, (outside["key"] == inside["key"]) & (F.col("l1") != F.col("l2")) & F.expr(fits) & new & once).select("a", "b"))
+    merged = sizes.select("node", "class_id").join(labels, "node")
+    smallest = merged.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    merged = merged.join(smallest, "label").select("node", "component_id")
+    named = saved(classes.join(merged, "node", "left").select("n", "node", "s2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "classes")
+    release(spark)
+    out = read.drop("keys", "first").join(named, ["n", "node", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
