@@ -2,15 +2,16 @@
 
 A page is parsed into elements (open tags end where HTML lets them be left out; scripts, styles and comments hold
 no text). Elements that are menus, footers, sidebars, notices, adverts, forms, reader comments and the like by tag,
-role or class go. The main part is the page's <article> elements, else its <main>, else the whole body. In a main
-part without <article> or <main>, each element's subtree has a hash (tag, class, texts and child hashes); one that
-occurs on SHARE of a host's pages and on MIN_PAGES of them or more is template, and goes. Inside <article> or <main>
-nothing goes for being repeated, since sites do publish the same paragraph twice.
+role or class go. The main part is all that is in <article> or <main>, or the whole body of a page without them. Each
+block element of the main part has a hash of its subtree (tag, class, texts and child hashes); one that occurs on
+SHARE of a host's pages and on MIN_PAGES of them or more is template, and goes. Inside <article> and <main>, pages
+of one main text count as one page, and headings and plain paragraphs (no class or id, no block element within) do
+not go for being repeated, since sites do publish the same paragraph twice.
 
 Text breaks into blocks at block elements and <br>. Character references are decoded, white space in a block becomes
 one space, empty blocks vanish, blocks are joined by one line feed. Null or empty html gives empty text; broken or
 truncated markup is read as far as it goes; pages without a host are compared with none. Repeated rows stay
-repeated (and count for the shares); an empty table gives no rows; other columns do not matter.
+repeated (and count for the shares, but for copies inside <article> and <main>); an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -37,23 +38,25 @@ _GONE = {"head", "nav", "footer", "aside", "form", "button", "select", "template
 _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "respond", "share", "social", "related", "widget", "pagination"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 _MAIN = ("article", "main")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Element:
-    __slots__ = ("tag", "name", "gone", "main", "parent", "digest", "value")
+    __slots__ = ("tag", "name", "gone", "main", "parent", "digest", "value", "plain")
 
     def __init__(self, tag: str, name: str, gone: bool, parent: _Element | None) -> None:
         self.tag, self.name, self.gone, self.parent = tag, name, gone, parent
         self.main = tag if tag in _MAIN else parent.main if parent else ""
         self.digest = xxhash.xxh64(f"{tag} {name}")
         self.value = 0
+        self.plain = not name.strip()  # neither class or id nor, as far as read, a block element within
 
 
 def _gone(tag: str, attributes: str, inside: str) -> tuple[bool, str]:
     """Whether an element is boilerplate by its kind, and its class and id."""
     if tag in _GONE or tag == "header" and not inside:
         return True, ""
-    if not attributes or tag in ("html", "body", *_MAIN):
+    if not attributes or tag in ("html", "body", "main") or tag == "article" and not inside:
         return False, ""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
     if not found:
@@ -76,11 +79,15 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
             if text:
                 blocks.append((text, owner))
                 e = owner
+                while e.tag not in _BLOCK and e.parent is not None:  # an inline element may have ended already
+                    e = e.parent
                 e.digest.update(text)
 
     def close(upto: _Element) -> None:
         nonlocal top
         while top is not upto.parent:
+            if held and top.tag in _BLOCK:
+                top.digest.update("".join(held))
             top.value = top.digest.intdigest() - (1 << 63)
             if top.parent is not None:
                 top.parent.digest.update(top.value.to_bytes(8, "little", signed=True))
@@ -146,6 +153,11 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
         gone, name = (True, "") if top.gone else _gone(tag, m[3], top.main)
         if gone and not top.gone:
             flush()
+        if tag in _BLOCK:
+            e = top
+            while e is not None and e.plain:
+                e.plain = False
+                e = e.parent
         top = _Element(tag, name, gone, top)
         if not gone:
             seen.append(top)
@@ -155,29 +167,34 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
     return blocks, seen
 
 
-def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of the main part, each with the hashes of the subtrees it is in, and all hashes of the page.
+def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int | None]:
+    """Blocks of the main part, each with the hashes of the subtrees it is in, all hashes of the main part, and the hash
+    of its text if it is in <article> or <main>.
 
-    Hashes are given only where repetition may tell a template: outside <article> and <main>.
+    Hashes are given only where repetition may tell a template.
     """
     blocks, seen = parse(html)
-    for kind in _MAIN:
-        if any(e.tag == kind for e in seen):
-            return [(text, []) for text, e in blocks if _within(e, kind)], []
-    out = []
-    for text, e in blocks:
-        path = []
-        while e is not None and e.tag not in ("", "html", "body"):
-            path.append(e.value)
-            e = e.parent
-        out.append((text, path))
-    return out, sorted({e.value for e in seen if e.tag not in ("html", "body")})
+    if not any(e.main for e in seen):
+        return [(text, _path(e)) for text, e in blocks], sorted({e.value for e in seen if _counted(e)}), None
+    blocks = [(text, e) for text, e in blocks if e.main]
+    whole = xxhash.xxh64("\n".join(text for text, _ in blocks)).intdigest() - (1 << 63)
+    return [(text, _path(e)) for text, e in blocks], sorted({e.value for e in seen if e.main and _counted(e)}), whole
 
 
-def _within(e: _Element | None, kind: str) -> bool:
-    while e is not None and e.tag != kind:
+def _counted(e: _Element) -> bool:
+    """Whether an element may be a template: an inline one may not, as its block goes on after it."""
+    if e.tag not in _BLOCK or e.tag in ("html", "body", *_MAIN):
+        return False
+    return not (e.main and (e.plain or e.tag in _HEADINGS))
+
+
+def _path(e: _Element | None) -> list[int]:
+    out = []
+    while e is not None:
+        if _counted(e):
+            out.append(e.value)
         e = e.parent
-    return e is not None
+    return out
 
 
 def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -193,14 +210,19 @@ def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGE
                 found = [main_blocks(h.as_py() or "") for h in part.column(3)]
                 blocks = pa.array([[{"text": t, "path": p} for t, p in f[0]] for f in found], pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])))
                 hashes = pa.array([f[1] for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], blocks, hashes], names=["page_id", "url", "host", "blocks", "hashes"])
-
-    parsed = rows.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<text: string, path: array<long>>>, hashes array<long>")
-    sizes = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
-    counts = parsed.where("host is not null").select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+                wholes = pa.array([f[2] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], blocks, hashes, wholes], names=["page_id", "url", "host", "blocks", "hashes", "whole"])
+
+    parsed = rows.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<text: string, path: array<long>>>, hashes array<long>, whole long")
+    hosted = parsed.where("host is not null")
+    # copies of a main text count once, which sums of pages by text give without any set of them
+    alike = F.when(F.col("whole").isNull(), F.col("n")).otherwise(1)
+    sizes = hosted.groupBy("host", "whole").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum(alike).alias("pages"))
+    found = hosted.select("host", "whole", F.explode("hashes").alias("hash")).groupBy("host", "hash", "whole").agg(F.count("*").alias("n"))
+    counts = found.groupBy("host", "hash").agg(F.sum(alike).alias("n"))
     repeated = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
     # at most 1 / share times the elements of the host's mean page
     templates = repeated.groupBy("host").agg(F.collect_list("hash").alias("template"))
-    kept = parsed.drop("hashes").join(templates, "host", "left")
+    kept = parsed.drop("hashes", "whole").join(templates, "host", "left")
     lines = F.transform(F.filter("blocks", lambda b: F.col("template").isNull() | ~F.coalesce(F.arrays_overlap(b["path"], "template"), F.lit(False))), lambda b: b["text"])
     return kept.select("page_id", "url", F.array_join(lines, "\n").alias("text"))

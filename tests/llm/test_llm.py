@@ -310,6 +310,24 @@ def test_html(spark):
     assert pages_of.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_in_main(spark):
+    rows = []
+    for i in range(10):
+        box = '<div class="cta-box"><p>Read our paper</div><ul class="tools"><li>Print<li>Mail</ul>'
+        reader = f'<article class="comment"><p>Reader {i}</article>'
+        body = f'<main><p>Lead {i}<article><h2 id="refs">Refs</h2><p>Same words<p><b>Note:</b> text {i}{box}{reader}</article></main>'
+        rows.append((i, f"http://a.example/{i}", f"<body>{body}</body>"))
+        rows.append((100 + i, f"http://copy.example/{i}", "<main><h1>One</h1><div class=body><p>The copied text</div></main>"))
+        rows.append((200 + i, f"http://few.example/{i // 4}", f'<article><p>Text {i}{"<div class=cta-box>Now and then</div>" if i < 4 else ""}</article>'))
+        rows.append((300 + i, f"http://d.example/{i}", f"<div><p><b>Note:</b> plain {i}</div><div>Terms</div>"))
+    got = {r.page_id: r.text for r in pages_of.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == f"Lead {i}\nRefs\nSame words\nNote: text {i}"
+        assert got[100 + i] == "One\nThe copied text"
+        assert got[200 + i] == (f"Text {i}\nNow and then" if i < 4 else f"Text {i}")
+        assert got[300 + i] == f"Note: plain {i}"
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(6)
     sounds = {"en": ["th", "ing", "er", "ow"], "de": ["sch", "ung", "ei", "ü"], "fr": ["eau", "è", "que", "oi"]}
