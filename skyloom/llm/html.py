@@ -2,7 +2,9 @@
 
 A page is parsed into elements (open tags end where HTML lets them be left out; scripts, styles and comments hold
 no text). Elements that are menus, footers, sidebars, notices, adverts, forms, reader comments and the like by tag,
-role or class go. The main part is all that is in <article> or <main>, or the whole body of a page without them. Each
+role or class go; a class or id must be a listed name as a whole. Names are not looked at on headings, on <main>, on
+paragraphs of the main part, and on what holds the page's <main> or <article> that has fewest named elements around it
+(articles in lists of comments or of other articles are not the page's). The main part is all that is in <article> or <main>, or the whole body of a page without them. Each
 block element of the main part has a hash of its subtree (tag, class, texts and child hashes); one that occurs on
 SHARE of a host's pages and on MIN_PAGES of them or more is template, and goes. Inside <article> and <main>, pages
 of one main text count as one page, and headings and plain paragraphs (no class or id, no block element within) do
@@ -38,37 +40,71 @@ _GONE = {"head", "nav", "footer", "aside", "form", "button", "select", "template
 _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "respond", "share", "social", "related", "widget", "pagination"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 _MAIN = ("article", "main")
+#: Names of lists of comments and other articles, whose articles are not the page's own.
+_LISTS = {"comment", "comments", "respond", "related"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Element:
-    __slots__ = ("tag", "name", "gone", "main", "parent", "digest", "value", "plain")
+    __slots__ = ("tag", "name", "gone", "named", "main", "parent", "kids", "value", "plain")
 
-    def __init__(self, tag: str, name: str, gone: bool, parent: _Element | None) -> None:
-        self.tag, self.name, self.gone, self.parent = tag, name, gone, parent
+    def __init__(self, tag: str, name: str, gone: bool, named: int, parent: _Element | None) -> None:
+        self.tag, self.name, self.gone, self.named, self.parent = tag, name, gone, named, parent
         self.main = tag if tag in _MAIN else parent.main if parent else ""
-        self.digest = xxhash.xxh64(f"{tag} {name}")
+        self.kids: list[str | _Element] = []
         self.value = 0
         self.plain = not name.strip()  # neither class or id nor, as far as read, a block element within
 
 
-def _gone(tag: str, attributes: str, inside: str) -> tuple[bool, str]:
-    """Whether an element is boilerplate by its kind, and its class and id."""
+def _gone(tag: str, attributes: str, inside: str) -> tuple[bool, int, str]:
+    """Whether an element is boilerplate by its kind, whether it is by its name (2: a list of comments or articles),
+    unless it holds the main part, and its class and id."""
     if tag in _GONE or tag == "header" and not inside:
-        return True, ""
-    if not attributes or tag in ("html", "body", "main") or tag == "article" and not inside:
-        return False, ""
+        return True, 0, ""
+    if not attributes or tag in ("html", "body", "main"):
+        return False, 0, ""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
     if not found:
-        return False, ""
+        return False, 0, ""
     name = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    parts = set(re.split(r"[\s_-]+", name))
-    return bool(parts & _NAMES) or (not inside and "header" in parts) or found.get("role", "").lower() in _ROLES, name
+    if tag != "article" and found.get("role", "").lower() in _ROLES:
+        return True, 0, name
+    if tag in _HEADINGS or tag == "p" and inside:
+        return False, 0, name
+    parts = set(name.split())
+    named = 2 if parts & _LISTS else int(bool(parts & _NAMES) or (not inside and "header" in parts))
+    return False, named, name
+
+
+def _settle(seen: list[_Element]) -> None:
+    """Spare what holds the page's main part, drop other elements with listed names, and hash the subtrees."""
+    within: list[tuple[int, _Element]] = []
+    for e in seen:
+        if e.tag in _MAIN:
+            around, up = 0, e
+            while up is not None and (up.named < 2 or e.tag == "main"):
+                around += up.named > 0
+                up = up.parent
+            if up is None:
+                within.append((around, e))
+    fewest = min((n for n, _ in within), default=0)
+    for n, e in within if fewest else ():
+        up = e if n == fewest else None
+        while up is not None:
+            up.named = 0
+            up = up.parent
+    for e in seen:
+        e.gone = e.named > 0 or e.parent.gone
+    for e in reversed(seen):
+        digest = xxhash.xxh64(f"{e.tag} {'' if e.gone else e.name}")
+        for kid in () if e.gone else e.kids:
+            digest.update(kid if isinstance(kid, str) else kid.value.to_bytes(8, "little", signed=True))
+        e.value = digest.intdigest() - (1 << 63)
 
 
 def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
     """Blocks of text outside boilerplate, each with its element, and the elements outside boilerplate."""
-    root = _Element("", "", False, None)
+    root = _Element("", "", False, 0, None)
     top, seen, blocks, held, owner = root, [], [], [], root
     end, at = len(html), 0
 
@@ -81,16 +117,15 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
                 e = owner
                 while e.tag not in _BLOCK and e.parent is not None:  # an inline element may have ended already
                     e = e.parent
-                e.digest.update(text)
+                e.kids.append(text)
 
     def close(upto: _Element) -> None:
         nonlocal top
         while top is not upto.parent:
+            if top.named:
+                flush()
             if held and top.tag in _BLOCK:
-                top.digest.update("".join(held))
-            top.value = top.digest.intdigest() - (1 << 63)
-            if top.parent is not None:
-                top.parent.digest.update(top.value.to_bytes(8, "little", signed=True))
+                top.kids.append("".join(held))
             top = top.parent
 
     while at < end:
@@ -150,21 +185,22 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
                 e = e.parent
         if m[3].endswith("/") and tag not in _BLOCK:
             continue
-        gone, name = (True, "") if top.gone else _gone(tag, m[3], top.main)
-        if gone and not top.gone:
+        gone, named, name = (True, 0, "") if top.gone else _gone(tag, m[3], top.main)
+        if (gone or named) and not top.gone:
             flush()
         if tag in _BLOCK:
             e = top
             while e is not None and e.plain:
                 e.plain = False
                 e = e.parent
-        top = _Element(tag, name, gone, top)
+        around, top = top, _Element(tag, name, gone, named, top)
         if not gone:
             seen.append(top)
+        if not around.gone:
+            around.kids.append(f"\0{tag}" if gone else top)
     flush()
-    while top.parent is not None:
-        close(top)
-    return blocks, seen
+    _settle(seen)
+    return [(text, e) for text, e in blocks if not e.gone], [e for e in seen if not e.gone]
 
 
 def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int | None]:

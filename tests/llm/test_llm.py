@@ -328,6 +328,24 @@ def test_html_templates_in_main(spark):
         assert got[300 + i] == f"Note: plain {i}"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout has-sidebar"><article><p>Text</article></div>', "Text"),
+        ('<div id="page" class="no-sidebar nav-open"><p>Text</div>', "Text"),
+        ('<div class="sidebar"><div class="sidebar"><article>Teaser</article></div><article><p>Text</article></div>', "Text"),
+        ('<div class="banner"><article class="sponsored"><p>Text</article></div><div>Foot</div>', "Text"),
+        ('<div><p>Text</div><section id="comments"><article><p>Me too</article></section>', "Text"),
+        ('<div class="wrap comments"><main><p>Text</main></div>', "Text"),
+        ('<article>Text</article><article class="comment">Me too</article>', "Text"),
+        ('<article><h2 id="related">Related</h2><section id="social-history"><p>Then</section><p class="notice">Take notice</article>', "Related\nThen\nTake notice"),
+        ('<article>One <span class="share">Share</span> two<div class="share box">Share</div></article>', "One\ntwo"),
+    ],
+)
+def test_html_names(page, text):
+    assert "\n".join(t for t, _ in pages_of.main_blocks(page)[0]) == text
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(6)
     sounds = {"en": ["th", "ing", "er", "ow"], "de": ["sch", "ung", "ei", "ü"], "fr": ["eau", "è", "que", "oi"]}
