@@ -239,26 +239,49 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     return dealt.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=1)
+def _picks() -> tuple[np.ndarray, np.ndarray]:
+    """Places of each band in a doubling, and odd weights of a band's symbols."""
+    rng = np.random.default_rng(11)
+    picks = np.stack([np.sort(rng.choice(SAMPLES, BAND, replace=False)) for _ in range(BANDS)])
+    return picks, rng.integers(1, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(fingerprint: str) -> list[int]:
+    """A hash for each band of each doubling; bands wholly beyond the walk have none."""
+    picks, weights = _picks()
+    found = np.frombuffer(fingerprint.encode(), dtype=np.uint8).reshape(-1, SAMPLES)[:, picks]
+    place = np.arange(1, found.shape[0] * BANDS + 1, dtype=np.uint64).reshape(-1, BANDS)
+    keys = mix(mix(place) + (found * weights).sum(axis=2, dtype=np.uint64))
+    return keys[(found != 46).any(axis=2)].view(np.int64).tolist()
+
+
 def near_pairs(docs: DataFrame, *, least: float = 0.9, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Near copies by bit-sampled bands: (doc_id, class_id) of every row, and verified pairs (class_id, other_id, near).
 
-    Rows with equal fingerprints form a class named by its smallest id. Classes that share a band of BAND
-    sampled symbols are compared with the band's smallest class only, so a band of any size gives one pair a row.
+    Rows with equal fingerprints form a class named by its smallest id. Each doubling of the walk has BANDS bands of BAND
+    of its sampled symbols, so copies may differ at any place; all classes that share a band are compared, and none
+    is skipped for being in a large one.
     """
     prints = saved(fingerprints(docs, id_column=id_column, text_column=text_column), "prints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     members = prints.join(classes, "fingerprint").select("doc_id", "class_id")
-    rng = np.random.default_rng(11)
-    picks = [sorted(rng.choice(2 * SAMPLES, BAND, replace=False).tolist()) for _ in range(BANDS)]
-    parts = [F.xxhash64(F.lit(k), F.concat(*[F.substring("fingerprint", p + 1, 1) for p in pick])) for k, pick in enumerate(picks)]
-    keyed = classes.select("class_id", "fingerprint", F.explode(F.array(*parts)).alias("band"))
-    hub = keyed.groupBy("band").agg(F.min("class_id").alias("other_id"))
-    found = keyed.join(hub, "band").where("class_id <> other_id").select("class_id", "other_id", "fingerprint").distinct()
+    classes = saved(classes.withColumn("node", F.xxhash64("fingerprint")), "classes")
+
+    @F.pandas_udf("array<long>")
+    def bands(column: pd.Series) -> pd.Series:
+        return pd.Series([_bands(x) for x in column], dtype=object)
+
+    keyed = classes.select("node", F.explode(bands("fingerprint")).alias("band"))
+    one, two = keyed.select("band", F.col("node").alias("a")), keyed.select("band", F.col("node").alias("b"))
+    found = one.join(two, "band").where("a < b").select("a", "b").distinct()
 
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    right = classes.select(F.col("class_id").alias("other_id"), F.col("fingerprint").alias("other_print"))
-    pairs = found.join(right, "other_id").withColumn("near", near("fingerprint", "other_print")).where(F.col("near") >= least)
-    return members, pairs.select("class_id", "other_id", "near")
+    left = classes.select(F.col("node").alias("a"), F.col("class_id").alias("id_a"), F.col("fingerprint").alias("print_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("class_id").alias("id_b"), F.col("fingerprint").alias("print_b"))
+    pairs = found.join(left, "a").join(right, "b").withColumn("near", near("print_a", "print_b")).where(F.col("near") >= least)
+    later = F.col("id_a") > F.col("id_b")
+    return members, pairs.select(F.when(later, F.col("id_a")).otherwise(F.col("id_b")).alias("class_id"), F.when(later, F.col("id_b")).otherwise(F.col("id_a")).alias("other_id"), "near")

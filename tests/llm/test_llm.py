@@ -94,6 +94,29 @@ def test_near_pairs_finds_copies(docs, rows):
     assert pairs.where("near < 0.8").count() == 0
 
 
+def test_near_pairs_loses_no_pair_to_openings_or_hubs(spark):
+    rng = random.Random(5)
+
+    def made(n):
+        return "".join(rng.choices("abcdefghij ", k=n))
+
+    opening = made(300)
+    texts = []
+    for _ in range(8):
+        body = made(6000)
+        texts += [made(100) + body, made(100) + body]  # other first lines
+    for _ in range(8):
+        body = made(3000)
+        texts += [opening + body, opening + body[:-200] + made(200)]  # one opening for all
+    prints = edits.fingerprints_of(texts)
+    near = {(j, i) for j in range(len(texts)) for i in range(j) if edits.likeness(prints[i], prints[j]) >= 0.8}
+    assert len(near & {(i + 1, i) for i in range(0, 16, 2)}) > 4 and len(near & {(i + 1, i) for i in range(16, 32, 2)}) > 4
+    _, pairs = edits.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=0.8)
+    got = [(r.class_id, r.other_id) for r in pairs.collect()]
+    alike = [prints.index(x) for x in prints]  # equal fingerprints are one class
+    assert len(got) == len(set(got)) and set(got) == {(j, i) for j, i in near if (alike[j], alike[i]) == (j, i)}
+
+
 def brute_components(rows):
     own = {}
     for r in rows:
