@@ -16,6 +16,7 @@ document of a class, its smallest id, is compared with others:
   a row. Links found join documents in components. Other hubs are drawn for what is still apart, HUBS times; then
   each document outside the largest component of its key meets all of the key's in other components whose size
   allows a link. So every pair that may link is either verified or known to be connected.
+  jaccard_links has no such shortcut: it verifies every pair that shares a key, and gives the links themselves.
 - Verification first compares what the prefixes tell, then intersects the whole sorted sets.
 
 Null or blank text has an empty set, which links with nothing. Repeated rows and rows with equal sets share a
@@ -290,3 +291,37 @@ def jaccard_components(docs: DataFrame, *, size: int = WORDS, per_cent: int = PE
     release(spark)
     out = read.drop("keys", "first").join(named, ["n", "node", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, *, size: int = WORDS, per_cent: int = PER_CENT, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join, without the shortcut for pairs that are connected through others.
+
+    Returns (doc_id, n_shingles, node, n_links) of every row, and the links (node, other, node < other) of different sets.
+    Rows of one node have equal sets (null: the empty set). A row's links are its node's other rows and all rows of the
+    nodes that its node links with.
+    """
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    frequent = _frequent(docs, size)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = list(sets(part.column(1), size))
+                node = [_signature(s)[0] if len(s) else None for s in found]
+                keys = [np.unique(keys_of(s, frequent, per_cent)[0]).view(np.int64) for s in found]
+                columns = [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "keys", "own"])
+
+    read = saved(docs.mapInArrow(run, f"doc_id {kind}, n long, node long, keys array<long>, own binary"), "sets")
+    reps = saved(read.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("own").alias("own")), "reps")
+    keyed = reps.select("node", "n", F.explode("keys").alias("key"))
+    other = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("n2"))
+    pairs = keyed.join(other, "key").where(f"node < b and 100 * least(n, n2) >= {per_cent} * greatest(n, n2)").select(F.col("node").alias("a"), "b").distinct()
+    linked = saved(_beside(pairs, reps, ["own"], links, per_cent), "links")
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(reps.select(F.col("node").alias("b"), "rows"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
+    counts = reps.select("node", "rows").join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = read.select("doc_id", F.col("n").alias("n_shingles"), "node").join(counts, "node", "left")
+    return members.select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), linked.select(F.col("a").alias("node"), F.col("b").alias("other"))

@@ -148,6 +148,28 @@ def test_jaccard(docs, rows, empty, monkeypatch, sample, frequent):
         assert shingles.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("sample, frequent", [(8, 2), (1, 2)])
+def test_jaccard_links(spark, rows, monkeypatch, sample, frequent):
+    """All links, those of documents connected through others included."""
+    monkeypatch.setattr(shingles, "SAMPLE", sample)
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    run = [f"w{i}" for i in range(108)]
+    chain = [" ".join(run[i : i + 100]) for i in range(0, 9, 2)] * 2  # each links with several others
+    rows = rows + [(1000 + i, t, *rows[0][2:]) for i, t in enumerate(chain)] + [(None, chain[0], *rows[0][2:])]
+    members, found = shingles.jaccard_links(spark.createDataFrame(rows, SCHEMA))
+    own = []
+    for r in rows:
+        w = words(r[1])
+        own.append((r[0], {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    linked = [[b for b, (_, y) in enumerate(own) if b != a and x and y and 100 * len(x & y) >= 75 * len(x | y)] for a, (_, x) in enumerate(own)]
+    members = members.collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in members) == collections.Counter((i, len(s), len(linked[a])) for a, (i, s) in enumerate(own))
+    node = {r.doc_id: r.node for r in members}
+    pairs = [(r.node, r.other) for r in found.collect()]
+    wanted = {tuple(sorted((node[own[a][0]], node[own[b][0]]))) for a in range(len(own)) for b in linked[a] if own[a][1] != own[b][1]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == wanted and len(wanted) > 8
+
+
 def test_jaccard_prefix_keys_lose_no_link():
     rng = np.random.default_rng(2)
     for _ in range(3000):
