@@ -95,6 +95,22 @@ def strip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("id % 11 = 0").select("id", "key").join(geo, "key").select("id", "key", "geo")
 
 
+@query("unseen_granules_all", f"SELECT id, {_KEY} AS key FROM granules WHERE id % 5 <> 1 AND {_KEY} NOT IN (SELECT {_KEY} FROM granules WHERE id % 5 = 1)", "granules")
+def unseen_granules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file in five was seen before; all others are asked for."""
+    g = _named(spark, sf_dir)
+    return g.where("id % 5 <> 1").select("id", "key").join(g.where("id % 5 = 1").select("key"), "key", "left_anti").select("id", "key")
+
+
+@query("strip_pairs_all", f"""SELECT id, key, geo FROM (SELECT a.id, a.key, b.id AS geo, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM (SELECT id, {_KEY} AS key FROM granules WHERE id % 2 = 0) a
+  JOIN (SELECT id, {_KEY} AS key FROM granules WHERE id % 2 = 1) b USING (key)) WHERE k = 1""", "granules")
+def strip_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even files are strips, odd ones geolocation, as in catalog_join."""
+    g = _named(spark, sf_dir)
+    geo = g.where("id % 2 = 1").groupBy("key").agg(F.min("id").alias("geo"))
+    return g.where("id % 2 = 0").select("id", "key").join(geo, "key").select("id", "key", "geo")
+
+
 @query("catalog_join", f"""SELECT r.key, r.files, g.geo FROM (SELECT {_KEY} AS key, count(*) AS files FROM granules WHERE id % 2 = 0 GROUP BY 1) r JOIN (SELECT {_KEY} AS key, arg_max(id, id) AS geo FROM granules WHERE id % 2 = 1 GROUP BY 1) g USING (key)""", "granules")
 def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radiances with the last geolocation file of their key."""
@@ -125,6 +141,11 @@ def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(granules(spark, sf_dir).where("id % 20 = 0"), ["product"], F.col("name"), F.unix_timestamp("last_modified").cast("string"))
 
 
+@query("file_hash_all", "SELECT product, md5(string_agg(name || '_' || floor(epoch(last_modified))::BIGINT, '' ORDER BY name || '_' || floor(epoch(last_modified))::BIGINT)) AS digest, count(*) AS files FROM granules GROUP BY 1", "granules")
+def file_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.digest(granules(spark, sf_dir), ["product"], F.col("name"), F.unix_timestamp("last_modified").cast("string"))
+
+
 @query("stale_victims", "SELECT id FROM granules WHERE epoch(TIMESTAMP '2024-01-20') - floor(epoch(last_modified)) > 84600", "granules")
 def stale_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.stale(granules(spark, sf_dir), "2024-01-20 00:00:00", 84600).select("id")
@@ -161,3 +182,9 @@ def first_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def faces_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     face = (F.col("y") * 2 + F.col("x") + F.col("frame")) % 6
     return frames_px(spark, sf_dir).where("tile_c < 3 and frame < 66").groupBy("tile_r").agg((F.countDistinct(face) == 6).alias("complete"))
+
+
+@query("faces_complete_all", "SELECT tile_r, count(DISTINCT (y * 2 + x + frame) % 6) = 6 AS complete FROM frames_px GROUP BY 1", "frames_px")
+def faces_complete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    face = (F.col("y") * 2 + F.col("x") + F.col("frame")) % 6
+    return frames_px(spark, sf_dir).groupBy("tile_r").agg((F.countDistinct(face) == 6).alias("complete"))

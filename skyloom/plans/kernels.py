@@ -39,6 +39,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("out > 0").select("tile", "y", "x", F.col("out").cast("long").alias("label"))
 
 
+@query("components_all")
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of every tile; DuckDB's recursion is for the first hundred tiles only."""
+    d = op.per_tile(patch_px(spark, sf_dir), "tile", lambda a: op.connected(a > 0.15).astype(float))
+    return d.where("out > 0").select("tile", "y", "x", F.col("out").cast("long").alias("label"))
+
+
 @query("clahe")
 def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.per_tile(_bytes(spark, sf_dir), "tile", lambda a: op.clahe(a, 2.0, 4)).select("tile", "y", "x", F.round("out", 4).alias("v"))

@@ -9,6 +9,8 @@ from ..operators import procedural as op
 from ..registry import query
 
 N, S = 4, 8
+#: Cells and samples an axis in the reference, too many for the oracle's distances to every point.
+CELLS, SAMPLES = 8, 64
 
 
 def _hash(seed: int, *ids: str) -> str:
@@ -21,8 +23,8 @@ _WORLEY = f"""s AS (SELECT i, (i % {S} + 0.5) / {S} AS x, (i // {S} % {S} + 0.5)
   f AS (SELECT i, sqrt(min(pow(least(abs(x - px), 1 - abs(x - px)), 2) + pow(least(abs(y - py), 1 - abs(y - py)), 2) + pow(least(abs(z - pz), 1 - abs(z - pz)), 2))) AS f1 FROM s CROSS JOIN p GROUP BY 1)"""
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.range(S**3).select(F.col("id").alias("i"), ((F.col("id") % S + 0.5) / S).alias("x"), ((F.expr(f"id div {S} % {S}") + 0.5) / S).alias("y"), ((F.expr(f"id div {S * S}") + 0.5) / S).alias("z"))
+def _samples(spark: SparkSession, s: int = S) -> DataFrame:
+    return spark.range(s**3).select(F.col("id").alias("i"), ((F.col("id") % s + 0.5) / s).alias("x"), ((F.expr(f"id div {s} % {s}") + 0.5) / s).alias("y"), ((F.expr(f"id div {s * s}") + 0.5) / s).alias("z"))
 
 
 @query("jitter_points", f"WITH {_POINTS} SELECT idx, ix, iy, iz, round(px, 9) AS px, round(py, 9) AS py, round(pz, 9) AS pz FROM p")
@@ -42,6 +44,17 @@ def worley_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("i", F.round(1 - F.least(F.greatest(F.col("f1") * N, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
 
 
+@query("worley_64")
+def worley_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.worley(_samples(spark, SAMPLES), op.cell_points(spark, CELLS), CELLS).select("i", F.round("f1", 6).alias("f1"))
+
+
+@query("worley_volume_64")
+def worley_volume_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = op.worley(_samples(spark, SAMPLES), op.cell_points(spark, CELLS), CELLS)
+    return f.select("i", F.round(1 - F.least(F.greatest(F.col("f1") * CELLS, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
+
+
 _FIB = f"""f AS (SELECT i, k * sqrt(greatest(1 - y * y, 0)) * cos(i * (pi() * (3 - sqrt(5.0)))) AS x, k * y AS y, k * sqrt(greatest(1 - y * y, 0)) * sin(i * (pi() * (3 - sqrt(5.0)))) AS z
   FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 500 AS y, 1 + 0.05 * (2 * ({_hash(7, "i")}) - 1) AS k FROM range(500) r(i)))"""
 
