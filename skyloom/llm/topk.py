@@ -4,10 +4,11 @@ Vectors are packed in blocks; beside the exact integers a block holds an approxi
 for each dimension over the block's range. For a query the cells alone give each vector an upper bound of
 its score; exact vectors are read in order of that bound until the k-th best score beats every bound left.
 Query blocks meet data blocks (a stated query set against all rows, in blocks); the best k of each pair of
-blocks are merged by rank. Scores are sums of products of floor(scale * component).
+blocks are merged by rank. Scores are sums of products of floor(scale * component). Vectors with an integer of
+LIMIT or more, for which the bounds could round too far, are packed in blocks of their own, whose scores are
+Python's whole numbers; a best score beyond 64 bits raises an error.
 
-Vectors that are null, hold a null or non-finite component, or one whose integer is 2**26 or more, take no
-part; nor do vectors of another number of dimensions than the query. Rows with the query's own id are not
+Vectors that are null or hold a null or non-finite component take no part; nor do vectors of another number of dimensions than the query. Rows with the query's own id are not
 its candidates; repeated rows are candidates each, and repeated queries are answered each. With no queries
 or no candidates there are no rows.
 """
@@ -33,21 +34,22 @@ def _valid(vectors: pa.Array, scale: float) -> list[tuple[int, np.ndarray]]:
         if not v.is_valid or v.values.null_count:
             continue
         x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-        if np.isfinite(x).all() and (np.abs(x) < LIMIT).all():
+        if np.isfinite(x).all():
             out.append((i, x))
     return out
 
 
 def _blocks(rows: DataFrame, scale: float) -> DataFrame:
-    """Rows (dims, n, ids, exact) of up to BLOCK vectors each."""
+    """Rows (dims, n, ids, exact) of up to BLOCK vectors each: 4 bytes a number, or 8 where any is LIMIT or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
 
-        def pack(dims: int) -> pa.RecordBatch:
-            part = held.pop(dims)
+        def pack(dims: int, large: bool) -> pa.RecordBatch:
+            part = held.pop((dims, large))
             ids = np.array([p[0] for p in part], dtype=np.int64)
-            exact = np.array([p[1] for p in part], dtype=np.float64).reshape(len(part), dims).astype(np.int32)
+            exact = np.array([p[1] for p in part], dtype=np.float64).reshape(len(part), dims)
+            exact = exact if large else exact.astype(np.int32)  # whole numbers, but maybe beyond 64 bits
             return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([exact.tobytes()], pa.binary())], names=["dims", "n", "ids", "exact"])
 
         for batch in batches:
@@ -55,15 +57,37 @@ def _blocks(rows: DataFrame, scale: float) -> DataFrame:
             for i, x in _valid(batch.column(1), scale):
                 if ids[i] is None:
                     continue
-                held.setdefault(len(x), []).append((ids[i], x))
-                if len(held[len(x)]) == BLOCK:
-                    yield pack(len(x))
-        for dims in list(held):
-            yield pack(dims)
+                key = len(x), bool((np.abs(x) >= LIMIT).any())
+                held.setdefault(key, []).append((ids[i], x))
+                if len(held[key]) == BLOCK:
+                    yield pack(*key)
+        for key in list(held):
+            yield pack(*key)
 
     return rows.mapInArrow(run, "dims int, n int, ids binary, exact binary")
 
 
+def _unpacked(exact: bytes, n: int, dims: int) -> tuple[np.ndarray, bool]:
+    """A block's vectors, and whether they are large."""
+    large = dims > 0 and len(exact) == 8 * n * dims
+    return np.frombuffer(exact, dtype=np.float64 if large else np.int32).reshape(n, dims).astype(np.float64), large
+
+
+def _best_large(ids: np.ndarray, exact: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Approximation.best over all rows by whole numbers of any size."""
+    if exact.shape[1] * float(np.abs(exact).max(initial=0)) * float(np.abs(query).max(initial=0)) < 1 << 62:
+        scores = exact.astype(np.int64) @ query.astype(np.int64)
+        keep = np.lexsort((ids, -scores))
+        keep = keep[ids[keep] != query_id][:k]
+        return ids[keep], scores[keep]
+    whole = [int(v) for v in query]
+    scored = sorted((-sum(int(a) * b for a, b in zip(x, whole, strict=True)), i) for i, x in zip(ids.tolist(), exact.tolist(), strict=True) if i != query_id)[:k]
+    for s, i in scored:
+        if not -(1 << 63) <= -s < 1 << 63:
+            raise OverflowError(f"the score of vectors {query_id} and {i} is beyond 64 bits")
+    return np.array([i for _, i in scored], dtype=np.int64), np.array([-s for s, _ in scored], dtype=np.int64)
+
+
 class Approximation:
     """Cells of a block's vectors, and search through them."""
 
@@ -115,9 +139,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, dims, ids, exact, q_ids, q_exact in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = Approximation(np.frombuffer(ids, dtype=np.int64), np.frombuffer(exact, dtype=np.int32).reshape(-1, dims))
-                own, asking = np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(q_exact, dtype=np.int32).reshape(-1, dims).astype(np.float64)
-                found = [block.best(q, i, b, k) for q, i, b in zip(asking, own.tolist(), block.bounds(asking), strict=True)]
+                rows, own = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
+                (held, large), (asking, larger) = _unpacked(exact, len(rows), dims), _unpacked(q_exact, len(own), dims)
+                if large or larger:
+                    found = [_best_large(rows, held, q, i, k) for q, i in zip(asking, own.tolist(), strict=True)]
+                else:
+                    block = Approximation(rows, held)
+                    found = [block.best(q, i, b, k) for q, i, b in zip(asking, own.tolist(), block.bounds(asking), strict=True)]
                 count = np.array([len(f[0]) for f in found])
                 columns = [pa.array([name] * int(count.sum())), pa.array(np.repeat(np.arange(len(own)), count)), pa.array(np.repeat(own, count)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["q_block", "q_row", "query_id", "vec_id", "score"])

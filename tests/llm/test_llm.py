@@ -257,6 +257,22 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    vectors = [(i, [float(i % 7), -float(i % 5), 1.0]) for i in range(40)] + [(50, [300000.0, 1.0, 0.0]), (51, [-3e6, 2.5, 1.0]), (100, [4e6, 5e6, -6e6]), (101, [1e7, 0.0, 0.0]), (150, [0.25, 0.0, -2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(2)
+    got = collections.Counter(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors]
+    want = collections.Counter()
+    for i, q in whole:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert len(want) == 20 and got == want
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        far = spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<float>")
+        topk.top_k(far, far).collect()
+
+
 def test_approximation_bounds_hold():
     rng = np.random.default_rng(5)
     exact = rng.integers(-500, 500, (700, 16))
