@@ -34,11 +34,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of the Jaccard join. Rows without an id stay."""
-    found = shingles.jaccard_components(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id is null"))
+    """One document, that of the smallest key, of each component of the Jaccard join. A row's key is its id (null ids
+    last), then a hash of its text, so rows that share an id or have none are told apart by text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn("_key", key)
+    found = shingles.jaccard_components(keyed.select("_key", "text"), id_column="_key")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

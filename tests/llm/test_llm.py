@@ -519,3 +519,13 @@ def test_pipeline_stages(spark, docs, tmp_path, monkeypatch):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_keeps_one_of_each_group_without_or_with_shared_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    made = [(None, one), (None, one + " end"), (5, one), (None, two), (None, two), (7, three), (9, three + " end"), (9, two + " more"), (9, "alone"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.dedup_near(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, one), (7, three), (9, two + " more"), (9, "alone"), (None, "no id")], key=repr)
