@@ -4,7 +4,8 @@ Bytes are embedded in WIDTH numbers; FILTERS learned filters over SPAN bytes sli
 CHUNK bytes that overlap by CHUNK - STEP and together cover the whole text; each filter's largest response in a
 chunk is kept, and a document is scored from the mean and the largest over its chunks by a logistic layer.
 Training is Adam in numpy on the driver over a bounded sample: about PER_LABEL labelled rows of each label,
-picked by a hash of the id, with up to TRAIN_CHUNKS chunks of each. The score is corrected from the balanced
+picked by a hash of the id, with up to TRAIN_CHUNKS chunks of each; of a row of more than SEEN bytes, PIECES pieces at
+hashed places, one in each PIECES-th of the text, take part with SEEN bytes in all. The score is corrected from the balanced
 sample to the labels' own shares.
 
 Null text counts as empty; empty text is one chunk of padding and has a score like any other. Labels that
@@ -28,7 +29,7 @@ WIDTH, FILTERS, SPAN, STRIDE, CHUNK, STEP = 6, 16, 8, 2, 256, 192
 PER_LABEL, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 1500, 4, 7, 32, 0.01
 PAD = 256
 #: Bytes of a sampled row that training can see; scoring always reads whole texts.
-SEEN = 1 << 16
+SEEN, PIECES = 1 << 16, 64
 
 
 @dataclass
@@ -159,7 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_column: s
     rate = F.when(F.col("y") == 0, min(1.0, PER_LABEL / counts[0])).otherwise(min(1.0, PER_LABEL / counts[1]))
     picked = known.where(dice < rate).limit(3 * PER_LABEL)  # so few ids can be broadcast
     rows = docs.select(id_column, F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(picked), id_column)
-    part = F.substring(F.col("text").cast("binary"), 1, SEEN)
+    data = F.col("text").cast("binary")
+    size, piece = F.octet_length("text"), SEEN // PIECES
+    spots = [F.floor((size - SEEN) * (k + F.pmod(F.xxhash64(F.col(id_column), F.lit(k)), F.lit(1 << 20)) / float(1 << 20)) / PIECES).cast("int") + k * piece + 1 for k in range(PIECES)]
+    part = F.when(size <= SEEN, data).otherwise(F.concat(*[F.substring(data, spot, piece) for spot in spots]))
     sample = rows.select(id_column, part.alias("part"), "y").orderBy(id_column, "part").limit(4 * PER_LABEL).collect()
     return fit([bytes(r["part"]) for r in sample], np.array([r["y"] for r in sample]), counts[1] / (counts[0] + counts[1]))
 

@@ -529,3 +529,15 @@ def test_pipeline_keeps_one_of_each_group_without_or_with_shared_ids(spark, tmp_
     got = pipeline.dedup_near(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, one), (7, three), (9, two + " more"), (9, "alone"), (None, "no id")], key=repr)
+
+
+def test_quality_learns_from_whole_rows(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        tail = " ".join(rng.choices(["zebra!!", "quartz##"] if i % 2 else ["river", "meadow"], k=9000))
+        rows.append((i, "same opening words " * 3600 + tail))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.predict(docs, quality.train(docs, labels, F.lit(True))).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2)) + 0.1
