@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,19 +35,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Free the disk of shuffles that are done with, which Spark does when the driver collects its garbage, and of written tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    for path in [f for t in tables for f in t.inputFiles()[:1]]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing. The shuffles that
+    made it are freed at once."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that are done with."""
+    for t in tables:
+        spark = t.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 

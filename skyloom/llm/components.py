@@ -1,6 +1,7 @@
 """Connected components of a table of links, by hooking to the smallest neighbour and pointer jumping.
 
-Every round writes its table to the shared folder, so lineage stays short and nothing is collected.
+Every round writes its table to the shared folder, so lineage stays short and nothing is collected; tables that are done
+with are deleted. Links from or to null are left out; without links there are no rows.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,7 +25,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         hooked = saved(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("was")), "hooked")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = saved(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
-        moved = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+        release(labels, hooked)
+        labels = new
+        if not new.where("label <> was").limit(1).count():
+            release(both)
+            return new.select("node", "label")

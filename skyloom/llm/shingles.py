@@ -2,22 +2,24 @@
 
 A document's set holds the hashes (64 bits) of its distinct runs of WORDS words; fewer words count as one run.
 Two documents link when the intersection holds 75 % of the union or more. Equal sets form a class; only one
-document of a class, its smallest id, is compared with others:
-
-- Order. All sets are sorted by one order: rare shingles by hash, then frequent ones by hash. Frequent are those
-  in FREQUENT or more documents of a sample of one in SAMPLE; the list is at most LISTED long, the most frequent,
-  and decides speed only, never results.
-- Prefix. Linked sets share a shingle among the first |x| - ceil(0.75 |x|) + 1 of either; extended by one, two.
-  Rare shingles of the extended prefix are keys alone.
-- Combinations. If no rare one is shared, both sets have frequent ones in it. They are indexed by pairs of
-  neighbours in order over the whole set: d differing shingles break at most d of the 3d - 1 or more places where
-  common ones follow each other, so linked sets share a pair.
-- Candidates. The documents of a key are compared with one of them, the key's hub, so a key of any size gives a pair
-  a row. Links found join documents in components. Other hubs are drawn for what is still apart, HUBS times; then
-  each document outside the largest component of its key meets all of the key's in other components whose size
-  allows a link. So every pair that may link is either verified or known to be connected.
+document of a class is compared with others:
+
+- Active sets. Linked sets share k of the first |x| - ceil(0.75 |x|) + k shingles of either, in order of their hashes.
+  Sets that share fewer (k is a quarter of that prefix) with all others together link with nothing and go. Shingles
+  listed as heavy, from a sample, are known to be shared and not dealt out; the list decides speed only.
+- Order. Among active sets each shingle is counted exactly, and all sets are sorted by one order: those in no other
+  set first, then by count, heavy ones last. A set with more shingles of its own than a link allows goes, too.
+- Prefix. Linked sets share a shingle among the first |x| - ceil(0.75 |x|) + 1 of either. Rare ones there are keys
+  alone. Where they don't fill the prefix, it is extended by a shingle for each of the groups that frequent ones
+  are dealt to by hash, and combinations of two of a group are keys: removing as many as a link allows leaves a rare
+  one or two of a group.
+- Candidates. A key's row tells the place in the set, so that a pair has to share it where the sizes of both still
+  allow a link, which leaves hardly more pairs than links. The documents of a key are first compared with one of them,
+  its hub; links found join documents in components. Other hubs are drawn for what is still apart, HUBS times in all;
+  then each document outside the largest component of its key meets all of the key's in other components. So every
+  pair that may link is either verified or known to be connected.
   jaccard_links has no such shortcut: it verifies every pair that shares a key, and gives the links themselves.
-- Verification first compares what the prefixes tell, then intersects the whole sorted sets.
+- Verification intersects the whole sorted sets.
 
 Null or blank text has an empty set, which links with nothing. Repeated rows and rows with equal sets share a
 component. Null ids take part, but a component's id is null only if all its ids are. Very long texts are read whole;
@@ -34,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, mix, release, saved, words
+from .common import chunks, mix, release, saved, words
 from .components import components
 
 WORDS, PER_CENT = 5, 75
-SAMPLE, FREQUENT, LISTED, HUBS = 8, 2, 1_500_000, 3
+#: One text in SAMPLE is searched for heavy shingles: those that HEAVY texts or more of it have, the LISTED most frequent.
+SAMPLE, HEAVY, LISTED = 16, 8, 1 << 20
+#: Shingles in more active sets than this are frequent.
+FREQUENT, HUBS = 128, 2
+_EMPTY = np.zeros(0, dtype=np.uint64)
 
 
 def sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -59,50 +65,77 @@ def sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
             elif c:
                 yield mix((h[f : f + c] * weights[:c]).sum(dtype=np.uint64, keepdims=True) + np.uint64(c))
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                yield _EMPTY
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, np.ndarray]:
-    """The keys under which a set is indexed, and its first shingles in the common order (prefix + 1 of them, or all)."""
+def least_shared(n: int, per_cent: int = PER_CENT) -> int:
+    """The fewest shingles that a set of n has in common with one it links with."""
+    return -(-per_cent * n // 100)
+
+
+def first_look(own: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, int]:
+    """A set's first shingles by hash, and how many of them an active set shares with others."""
     n = len(own)
-    if not n:
-        return own, own
-    prefix = n - -(-per_cent * n // 100) + 1
-    if not len(frequent):
-        return own[:prefix], own[: prefix + 1] >> np.uint64(1)
-    common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-    rare = own[~common][: prefix + 1]
-    if len(rare) > prefix:
-        return rare, rare >> np.uint64(1)
-    rest = own[common]
-    first = np.concatenate((rare >> np.uint64(1), rest[: prefix + 1 - len(rare)] >> np.uint64(1) | np.uint64(1 << 63)))
-    pairs = mix(rest[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(rest[1:]))
-    # a set may hold but one frequent shingle
-    return np.concatenate((rare, pairs if len(rest) > 1 else rest)), first
-
-
-def rounded(first: np.ndarray, n: int) -> np.ndarray:
-    """The first shingles of a set of n as sorted 16-bit (in large sets 32-bit) values: rounding keeps their order."""
-    return (first >> np.uint64(48)).astype(np.uint16) if n <= 4096 else (first >> np.uint64(32)).astype(np.uint32)
-
-
-def may_link(n: int, x: bytes, m: int, y: bytes, per_cent: int = PER_CENT) -> bool:
-    """Whether sets of n and m shingles with these rounded first ones can still link: up to where both are known, the
-    shingles in but one of them must not outnumber what a link allows. Rounding may only take different ones for equal."""
-    sides = [np.frombuffer(v, dtype=np.uint16 if k <= 4096 else np.uint32).astype(np.int64) for v, k in ((x, n), (y, m))]
-    if (n <= 4096) != (m <= 4096):
-        sides = [v if k <= 4096 else v >> 16 for v, k in zip(sides, (n, m), strict=True)]
-    known = min([int(v[-1]) for v, k in zip(sides, (n, m), strict=True) if len(v) < k], default=None)
-    if known is not None:
-        sides = [v[: np.searchsorted(v, known)] for v in sides]
-    # equal values are told apart by how often they came before
-    sides = [(v << 24) + np.arange(len(v)) - np.searchsorted(v, v) for v in sides]
-    apart = len(sides[0]) + len(sides[1]) - 2 * len(np.intersect1d(*sides, assume_unique=True))
-    return apart * (100 + per_cent) <= (100 - per_cent) * (n + m)
-
-
-def _frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that are frequent in a sample of documents; for speed alone."""
+    lost = n - least_shared(n, per_cent)
+    k = min(max(1, (lost + 1) // 4), n - lost)
+    return own[: lost + k], k
+
+
+def is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(values), dtype=bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def groups(m: int) -> int:
+    """How many groups frequent shingles are dealt to where the larger set of a pair has m: so many that a set has at
+    most some eight combinations a shingle. 0: all count as rare."""
+    return 4 ** max(0, (m.bit_length() - 7) // 2) if m >= 8 else 0
+
+
+def keys_of(n: int, alone: int, shared: np.ndarray, rare: int, per_cent: int = PER_CENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set of n shingles, and the place of each in the set.
+
+    alone: its shingles that no other set has; shared: the others in the common order, the first `rare` of them rare.
+    The first shingle of each group of frequent ones does not count for the places of combinations.
+    """
+    lost = n - least_shared(n, per_cent)
+    need = lost + 1 - alone
+    if need <= 0:
+        return _EMPTY, np.zeros(0, np.int64)
+    if rare >= need or per_cent < 50:
+        return shared[:need], alone + np.arange(min(need, len(shared)))
+    keys, places = [shared[:rare]], [alone + np.arange(rare)]
+    rest = shared[rare:]
+    largest = 100 * n // per_cent
+    for g in {groups(n), groups(largest)}:
+        if not g:
+            keys.append(rest[: need - rare])
+            places.append(alone + rare + np.arange(len(keys[-1])))
+            continue
+        group = ((rest >> np.uint64(40)) % np.uint64(g)).astype(np.int64)
+        counted = np.ones(len(rest), dtype=np.int64)
+        counted[np.unique(group, return_index=True)[1]] = 0
+        credit = np.cumsum(counted)
+        end = int(np.searchsorted(credit, need - rare)) + 1
+        order = np.argsort(group[:end], kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(group[:end][order])) + 1):
+            a, b = np.triu_indices(len(members), 1)
+            a, b = members[a], members[b]
+            keys.append(mix(rest[a] * np.uint64(0x9E3779B97F4A7C15) + mix(rest[b] + np.uint64(g))))
+            places.append(alone + rare + credit[b] - 1)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def links(x: bytes, y: bytes, per_cent: int = PER_CENT) -> bool:
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= per_cent * (len(x) + len(y) - both)
+
+
+def _heavy(docs: DataFrame, size: int) -> np.ndarray:
+    """Heavy shingles, least frequent first; for speed alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,21 +144,10 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
                 value, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["h", "n"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["h"])
-
-    sample = docs.where(crc_mod("doc_id", SAMPLE) + " = 0").select("text").distinct()
-    found = saved(sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
-    least, total = FREQUENT, 0
-    for r in found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 1,000 rows
-        total += r["count"]
-        if total > LISTED:
-            least = r.n + 1
-            break
-    rows = found.where(F.col("n") >= least).select("h").mapInArrow(pack, "h binary").collect()  # at most LISTED values
-    release(docs.sparkSession, found)
-    return np.sort(np.concatenate([np.frombuffer(r.h, dtype=np.uint64) for r in rows])) if rows else np.zeros(0, np.uint64)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    found = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+    found = found.orderBy(F.col("n").desc(), "h").limit(LISTED).toArrow()  # at most LISTED rows of 16 bytes
+    return found.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -133,163 +155,168 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _set_table(docs: DataFrame, size: int) -> DataFrame:
-    """(node, own): the sets of documents (node, text) whose set has that signature."""
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [(n, s.tobytes()) for n, s in zip(part.column(0).to_pylist(), sets(part.column(1), size), strict=True) if _signature(s)[0] == n]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "own"])
 
-    return docs.mapInArrow(run, "node long, own binary")
+def _flat(nodes: pa.Array, lists: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (node, key), one for each value of each node's list."""
+    node = np.repeat(nodes.to_numpy(), [len(x) for x in lists])
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([_EMPTY, *lists]).view(np.int64))], names=["node", "key"])
 
 
-def _beside(pairs: DataFrame, table: DataFrame, columns: list[str], keep, per_cent: int) -> DataFrame:
-    """The pairs (a, b) for which keep holds of the columns of either's row in table."""
-    width = len(columns)
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows (node, key) whose key another node has, with the number of its nodes."""
+    by = Window.partitionBy("key")
+    return keyed.select("node", "key", F.count("*").over(by).alias("df")).where("df > 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[c[i] for c in batch.columns[2:]] for i in range(batch.num_rows)]
-            values = [[v.as_py() for v in r] for r in rows]
-            good = [bool(keep(*v[:width], *v[width:], per_cent)) for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = table.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = table.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
-    return both.mapInArrow(run, "a long, b long")
+def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row (doc_id, n, node, s2), the classes (n, node, s2, class_id, rows), the active sets (node, own), and the
+    index (key, node, n, alone, place) of sets that may link."""
+    heavy = _heavy(docs, size)
+    by_hash = np.sort(heavy)
+    rank = np.empty(len(heavy), dtype=np.int64)
+    rank[np.searchsorted(by_hash, heavy)] = np.arange(len(heavy))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            rows = []
+            for s in sets(part.column(2), size):
+                prefix, k = first_look(s, per_cent)
+                known = is_in(prefix, by_hash)
+                rows.append((len(s), *_signature(s), k - int(known.sum()), prefix[~known].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], names=["doc_id", "hash", "n", "node", "s2", "more", "keys"])
 
-def links(x: bytes, y: bytes, per_cent: int = PER_CENT) -> bool:
-    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= per_cent * (len(x) + len(y) - both)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            yield _flat(part.column(0), [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in part.column(1)])
+
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    read = saved(hashed.mapInArrow(look, f"doc_id {kind}, hash long, n long, node long, s2 long, more long, keys binary"), "read")
+    own_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    reps = read.where("n > 0").groupBy("n", "node", "s2").agg(F.min(own_first).alias("rep"), F.count("*").alias("rows"), F.first("more").alias("more"), F.first("keys").alias("keys"))
+    reps = saved(reps, "reps")
+    rows, old = saved(read.select("doc_id", "n", "node", "s2"), "rows"), read
+    release(old)
+    met = _shared(reps.select("node", "keys").mapInArrow(spread, "node long, key long")).groupBy("node").agg(F.count("*").alias("met"))
+    active = reps.join(met, "node", "left").where(F.coalesce("met", F.lit(0)) >= F.col("more")).select("node", "n", "rep.doc_id", "rep.hash")
+    active = saved(active, "active")
+    classes, old = saved(reps.select("n", "node", "s2", F.col("rep.doc_id").alias("class_id"), "rows"), "classes"), reps
+    release(old)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            found = list(sets(part.column(1), size))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "own"])
+
+    def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            found = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in part.column(1)]
+            yield _flat(part.column(0), [s[~is_in(s, by_hash)] for s in found])
+
+    wanted = active.select("node", F.col("doc_id").alias("id"), F.col("hash").alias("own_hash"))
+    texts = hashed.join(wanted, (F.col("hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    # rows repeated with their ids give their set more than once
+    own = saved(texts.mapInArrow(whole, "node long, own binary").groupBy("node").agg(F.first("own").alias("own")), "own")
+    counted = _shared(own.mapInArrow(uncommon, "node long, key long")).groupBy("node").agg(F.collect_list("df").alias("df"), F.collect_list("key").alias("keys"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            out = []
+            for node, own, df, key in zip(part.column(0).to_pylist(), *part.columns[1:], strict=True):
+                s = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+                common = s[is_in(s, by_hash)]
+                common = common[np.argsort(rank[np.searchsorted(by_hash, common)])]
+                times = df.values.to_numpy() if df.is_valid else np.zeros(0, np.int64)
+                others = key.values.to_numpy().view(np.uint64) if df.is_valid else _EMPTY
+                order = np.lexsort((others, times))
+                shared = np.concatenate((others[order], common))
+                alone = len(s) - len(shared)
+                keys, places = keys_of(len(s), alone, shared, int((times <= FREQUENT).sum()), per_cent)
+                out.append((keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), len(s)), np.full(len(keys), alone), places))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(5)], names=["key", "node", "n", "alone", "place"])
+
+    keyed = own.join(counted, "node", "left").select("node", "own", "df", "keys").mapInArrow(index, "key long, node long, n long, alone long, place long")
+    return rows, classes, own, saved(keyed, "index")
+
+
+def _meet(per_cent: int) -> str:
+    """SQL: whether sets that share a key at these places may link by it."""
+    need = f"(({per_cent} * (n + n2) + {99 + per_cent}) div {100 + per_cent})"
+    return f"place <= n - {need} and place2 <= n2 - {need} and least(n - alone, n2 - alone2) >= {need}"
+
+
+def _verified(pairs: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            good = [links(x.as_buffer(), y.as_buffer(), per_cent) for x, y in zip(part.column(2), part.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, size: int = WORDS, per_cent: int = PER_CENT, hubs: int = HUBS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id of an equal set,
     component_id the smallest reachable by links."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    frequent = _frequent(docs, size)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                number, one, two, keys, first = [], [], [], [], []
-                for s in sets(part.column(1), size):
-                    number.append(len(s))
-                    signature = _signature(s)
-                    one.append(signature[0])
-                    two.append(signature[1])
-                    k, f = keys_of(s, frequent, per_cent)
-                    keys.append(k.tobytes())
-                    # where all keys are shingles alone, they tell the first ones too
-                    first.append(b"" if len(k) == len(f) and (k >> np.uint64(1) == f).all() else f.tobytes())
-                columns = [part.column(0), pa.array(number, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "s2", "keys", "first"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat = [np.unique(np.frombuffer(k.as_buffer(), dtype=np.int64)) for k in part.column(1)]
-                node = np.repeat(part.column(0).to_numpy(), [len(k) for k in flat])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(flat) if flat else [], pa.int64())], names=["node", "key"])
-
-    read = docs.mapInArrow(run, f"doc_id {kind}, n long, node long, s2 long, keys binary, first binary")
-    whole = read.where("n > 0")
-    reps = whole.groupBy("n", "node", "s2").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"), F.first("first").alias("first"))
-    reps = saved(reps, "reps")
-    by = Window.partitionBy("key")
-    keyed = reps.select("node", "keys").mapInArrow(spread, "node long, key long")
-    index = keyed.select("node", "key", F.min("node").over(by).alias("low"), F.max("node").over(by).alias("high")).where("low <> high").select("node", "key")
-    index = saved(index, "index")
-    release(spark)
-    active = saved(index.select("node").distinct(), "active")
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = [f.as_py() or (np.frombuffer(k.as_buffer(), dtype=np.uint64) >> np.uint64(1)).tobytes() for f, k in zip(batch.column(2), batch.column(3), strict=True)]
-            short = [rounded(np.frombuffer(f, dtype=np.uint64), n).tobytes() for f, n in zip(first, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.binary()), batch.column(4)], names=["node", "n", "first", "class_id"])
-
-    sizes = reps.select("node", "n", "first", "keys", "class_id").mapInArrow(starts, f"node long, n long, first binary, class_id {kind}").join(active, "node")
-    sizes = saved(sizes.select("node", "n", "first", "class_id"), "firsts")
-    classes = saved(reps.select("n", "node", "s2", "class_id"), "classes")
-    release(spark, reps)
-    # a document that shares many of its keys is more likely to be what others were made from
-    degree = index.groupBy("node").agg(F.count("*").alias("degree"))
-    index = saved(index.join(sizes.select("node", "n").join(degree, "node"), "node"), "sized")
-    own = spark.createDataFrame([], "node long, own binary")
-    read_before: list[DataFrame] = []
+    rows, classes, own, index = _indexed(docs, size, per_cent)
+    may = _meet(per_cent)
     found: list[DataFrame] = []
     tried: list[DataFrame] = []
-    labels = active.select("node", F.col("node").alias("label"))
+    labels: DataFrame | None = None
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal labels, own
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        nonlocal labels
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tried.append(pairs)
-        likely = saved(_beside(pairs, sizes, ["n", "first"], may_link, per_cent), "likely")
-        release(spark)
-        asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        for known in read_before:
-            asked = asked.join(known, "node", "left_anti")
-        asked = saved(asked, "asked")
-        if asked.limit(1).count():
-            read_before.append(asked)
-            wanted = sizes.join(asked, "node").select("node", F.col("class_id").alias("id"))
-            texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("node", "text")
-            own = own.union(saved(_set_table(texts, size), "own"))
-            release(spark)
-        linked = saved(_beside(likely, own, ["own"], links, per_cent), "links")
-        release(spark)
+        tried.append(saved(pairs, "pairs"))
+        linked = _verified(tried[-1], own, per_cent)
         if linked.limit(1).count():
             found.append(linked)
-            merged = components(reduce(DataFrame.unionByName, found), "a", "b")
-            labels = saved(active.join(merged, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-            release(spark)
+            labels = components(reduce(DataFrame.unionByName, found), "a", "b")
 
     def apart() -> DataFrame:
         """The index with labels, of the keys with documents in several components."""
-        named = index.join(labels, "node")
+        if labels is None:
+            return index.withColumn("label", F.col("node"))
+        named = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        return named.join(split, "key")
+        return saved(named.join(split, "key"), "apart")
 
-    fits = f"100 * least(n, n2) >= {per_cent} * greatest(n, n2)"
+    other = [F.col(c).alias(f"{c}2") for c in ("label", "n", "alone", "place")]
     for turn in range(hubs):
-        rows = saved(apart(), "apart") if turn else index.withColumn("label", F.col("node"))
-        draw = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
-        hub = rows.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), draw).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.label").alias("l2"), F.col("h.n").alias("n2"))
-        verify(rows.join(hub, "key").where(f"label <> l2 and {fits}").select(F.col("node").alias("a"), "b"))
-    rows = saved(apart(), "apart")
-    each = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+        left = apart()
+        # the first hub is a set with few shingles of its own, which others may be made from
+        draw = F.struct(F.lit(0) if turn else F.col("alone"), F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
+        hub = left.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", "alone", "place"), draw).alias("h")).select("key", "h.*")
+        hub = hub.select("key", F.col("node").alias("b"), *other)
+        verify(left.join(hub, "key").where(f"label <> label2 and {may}").select(F.col("node").alias("a"), "b"))
+    left = apart()
+    each = left.groupBy("key", "label").agg(F.count("*").alias("size"))
     main = each.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    # a pair that shares both documents' key before this one too is met there
-    before = F.lag("key").over(Window.partitionBy("node").orderBy("key"))
-    rows = saved(rows.withColumn("before", before), "rows")
-    outside = rows.join(main, "key").where("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("l1"), "n", F.col("before").alias("b1"))
-    inside = rows.select("key", F.col("node").alias("b"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("before").alias("b2"))
-    new = F.col("b1").isNull() | F.col("b2").isNull() | (F.col("b1") != F.col("b2"))
+    outside = left.join(main, "key").where("label <> main").withColumnRenamed("node", "a")
+    inside = left.select("key", F.col("node").alias("b"), *other)
     # of two documents outside the key's largest component, one is enough to bring the pair
-    once = (F.col("a") < F.col("b")) | (F.col("l2") == F.col("main"))
-    outside = outside.join(main, "key")
-    verify(outside.join(inside, (outside["key"] == inside["key"]) & (F.col("l1") != F.col("l2")) & F.expr(fits) & new & once).select("a", "b"))
-    merged = sizes.select("node", "class_id").join(labels, "node")
-    smallest = merged.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    merged = merged.join(smallest, "label").select("node", "component_id")
-    named = saved(classes.join(merged, "node", "left").select("n", "node", "s2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "classes")
-    release(spark)
-    out = read.drop("keys", "first").join(named, ["n", "node", "s2"], "left")
+    verify(outside.join(inside, "key").where(f"label <> label2 and (a < b or label2 = main) and {may}").select("a", "b"))
+    if labels is None:
+        named = classes.withColumn("component_id", F.col("class_id"))
+    else:
+        merged = classes.select("node", "class_id").join(labels, "node")
+        smallest = merged.groupBy("label").agg(F.min("class_id").alias("component_id"))
+        merged = merged.join(smallest, "label").select("node", "component_id")
+        named = classes.join(merged, "node", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    named = saved(named.select("n", "node", "s2", "class_id", "component_id"), "named")
+    out = rows.join(named, ["n", "node", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -298,30 +325,15 @@ def jaccard_links(docs: DataFrame, *, size: int = WORDS, per_cent: int = PER_CEN
 
     Returns (doc_id, n_shingles, node, n_links) of every row, and the links (node, other, node < other) of different sets.
     Rows of one node have equal sets (null: the empty set). A row's links are its node's other rows and all rows of the
-    nodes that its node links with.
+    nodes that its node links with. The links of a group of near copies are as many as its pairs.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    frequent = _frequent(docs, size)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = list(sets(part.column(1), size))
-                node = [_signature(s)[0] if len(s) else None for s in found]
-                keys = [np.unique(keys_of(s, frequent, per_cent)[0]).view(np.int64) for s in found]
-                columns = [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "keys", "own"])
-
-    read = saved(docs.mapInArrow(run, f"doc_id {kind}, n long, node long, keys array<long>, own binary"), "sets")
-    reps = saved(read.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("own").alias("own")), "reps")
-    keyed = reps.select("node", "n", F.explode("keys").alias("key"))
-    other = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("n2"))
-    pairs = keyed.join(other, "key").where(f"node < b and 100 * least(n, n2) >= {per_cent} * greatest(n, n2)").select(F.col("node").alias("a"), "b").distinct()
-    linked = saved(_beside(pairs, reps, ["own"], links, per_cent), "links")
+    rows, classes, own, index = _indexed(docs, size, per_cent)
+    other = index.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "alone", "place")])
+    pairs = index.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and {_meet(per_cent)}").select("a", "b").distinct()
+    linked = _verified(saved(pairs, "pairs"), own, per_cent)
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(reps.select(F.col("node").alias("b"), "rows"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
-    counts = reps.select("node", "rows").join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    members = read.select("doc_id", F.col("n").alias("n_shingles"), "node").join(counts, "node", "left")
+    others = both.join(classes.select(F.col("node").alias("b"), "rows"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
+    counts = classes.join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(counts, "node", "left")
     return members.select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), linked.select(F.col("a").alias("node"), F.col("b").alias("other"))

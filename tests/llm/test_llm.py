@@ -138,21 +138,31 @@ def brute_components(rows):
     return {i: (len(own[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("sample, frequent", [(8, 2), (1, 2)])
-def test_jaccard(docs, rows, empty, monkeypatch, sample, frequent):
-    monkeypatch.setattr(shingles, "SAMPLE", sample)
-    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+@pytest.mark.parametrize("sample, heavy, frequent", [(16, 8, 128), (1, 2, 2), (1, 4, 1)])
+def test_jaccard(docs, rows, empty, monkeypatch, sample, heavy, frequent):
+    for name, value in (("SAMPLE", sample), ("HEAVY", heavy), ("FREQUENT", frequent)):
+        monkeypatch.setattr(shingles, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_components(docs).collect()}
     assert got == brute_components(rows)
-    if sample == 8:
+    if sample == 16:
         assert shingles.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("sample, frequent", [(8, 2), (1, 2)])
-def test_jaccard_links(spark, rows, monkeypatch, sample, frequent):
+def test_jaccard_of_repeated_rows_and_null_ids(spark, rows):
+    made = [r for r in rows[:40] if r[1]]
+    again = made + made[:7] + [(None, r[1], *r[2:]) for r in made[3:12]] + [(None, made[0][1] + " end", *made[0][2:])] * 2
+    got = collections.Counter((r.doc_id, r.component_id) for r in shingles.jaccard_components(spark.createDataFrame(again, SCHEMA)).collect())
+    component = brute_components(made)
+    of_text = {r[1]: component[r[0]][1] for r in made}
+    of_text[made[0][1] + " end"] = of_text[made[0][1]]
+    assert got == collections.Counter((r[0], of_text[r[1]]) for r in again)
+
+
+@pytest.mark.parametrize("sample, heavy, frequent", [(16, 8, 128), (1, 2, 2)])
+def test_jaccard_links(spark, rows, monkeypatch, sample, heavy, frequent):
     """All links, those of documents connected through others included."""
-    monkeypatch.setattr(shingles, "SAMPLE", sample)
-    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    for name, value in (("SAMPLE", sample), ("HEAVY", heavy), ("FREQUENT", frequent)):
+        monkeypatch.setattr(shingles, name, value)
     run = [f"w{i}" for i in range(108)]
     chain = [" ".join(run[i : i + 100]) for i in range(0, 9, 2)] * 2  # each links with several others
     rows = rows + [(1000 + i, t, *rows[0][2:]) for i, t in enumerate(chain)] + [(None, chain[0], *rows[0][2:])]
@@ -172,17 +182,32 @@ def test_jaccard_links(spark, rows, monkeypatch, sample, frequent):
 
 def test_jaccard_prefix_keys_lose_no_link():
     rng = np.random.default_rng(2)
-    for _ in range(3000):
-        n = int(rng.integers(1, 60))
+    linked = 0
+    for turn in range(3000):
+        n = int(rng.integers(1, (60, 300, 3000)[turn % 3]))
         x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         y = np.unique(np.concatenate((x[rng.random(len(x)) > rng.random() * 0.3], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 3))).astype(np.uint64))))
         if not len(y) or not shingles.links(x.tobytes(), y.tobytes()):
             continue
-        pool = np.unique(np.concatenate((x, y)))
-        frequent = np.sort(pool[rng.random(len(pool)) < rng.random()])
-        (k, f), (m, g) = shingles.keys_of(x, frequent), shingles.keys_of(y, frequent)
-        assert len(np.intersect1d(k, m))
-        assert shingles.may_link(len(x), shingles.rounded(f, len(x)).tobytes(), len(y), shingles.rounded(g, len(y)).tobytes())
+        linked += 1
+        (p, k), (q, m) = shingles.first_look(x), shingles.first_look(y)
+        assert len(np.intersect1d(p, y)) >= k and len(np.intersect1d(q, x)) >= m
+        # an order of what is not in one of them alone, rare first
+        alone = np.concatenate([rng.permutation(a)[: int(rng.integers(0, len(a) + 1))] for a in (np.setdiff1d(x, y), np.setdiff1d(y, x))])
+        pool = np.setdiff1d(np.unique(np.concatenate((x, y))), alone)
+        rank, rare = rng.permutation(len(pool)), int(rng.random() ** 2 * len(pool))
+        found = []
+        for s in (x, y):
+            own = np.sort(rank[np.searchsorted(pool, np.intersect1d(s, pool))])
+            keys, places = shingles.keys_of(len(s), len(s) - len(own), pool[np.argsort(rank)][own], int((own < rare).sum()))
+            assert len(keys) <= 12 * len(s)
+            found.append((len(s), len(s) - len(own), keys, places))
+        (n, u, k, i), (m, v, q, j) = found
+        need = -(-75 * (n + m) // 175)
+        assert min(n - u, m - v) >= need
+        common, a, b = np.intersect1d(k, q, return_indices=True)
+        assert ((i[a] <= n - need) & (j[b] <= m - need)).any()
+    assert linked > 500
 
 
 def test_components(spark):
