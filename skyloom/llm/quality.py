@@ -15,7 +15,6 @@ share of label 1 (1.0 if there are no labels). Repeated rows stay repeated; an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,17 +41,21 @@ class Model:
     constant: float | None = None
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks as rows of CHUNK symbols, and the number of chunks of each text."""
+def spots(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each chunk starts, where its text ends, and the number of chunks of each text."""
     size = np.diff(offsets)
     count = np.maximum(1, -(-(size - (CHUNK - STEP)) // STEP))
     starts = np.repeat(offsets[:-1] - (np.cumsum(count) - count) * STEP, count) + np.arange(count.sum()) * STEP
-    ends = np.repeat(offsets[1:], count)
+    return starts, np.repeat(offsets[1:], count), count
+
+
+def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Chunks as rows of CHUNK symbols."""
     at = starts[:, None] + np.arange(CHUNK)
-    padded = np.append(data, np.uint8(0)).astype(np.uint16)
-    out = padded[np.minimum(at, len(data))]
-    out[at >= ends[:, None]] = PAD
-    return out, count
+    out = np.full(at.shape, PAD, dtype=np.uint16)
+    inside = at < ends[:, None]
+    out[inside] = data[at[inside]]
+    return out
 
 
 def windows(symbols: np.ndarray, embed: np.ndarray) -> np.ndarray:
@@ -80,8 +83,8 @@ def score(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     """Probability of label 1 of each text."""
     if model.constant is not None:
         return np.full(len(offsets) - 1, model.constant)
-    symbols, count = cut(data, offsets)
-    best = np.concatenate([_strongest(symbols[i : i + 512], model) for i in range(0, len(symbols), 512)])
+    starts, ends, count = spots(offsets)
+    best = np.concatenate([_strongest(cut(data, starts[i : i + 512], ends[i : i + 512]), model) for i in range(0, len(starts), 512)])
     z = document_features(best, count) @ model.weights + model.offset
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -112,8 +115,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
             chosen, count = [], []
             for i in batch:
-                c, _n = cut(np.frombuffer(texts[i], dtype=np.uint8), np.array([0, len(texts[i])]))
-                chosen.append(c[rng.permutation(len(c))[:TRAIN_CHUNKS]])
+                starts, ends, _n = spots(np.array([0, len(texts[i])]))
+                some = rng.permutation(len(starts))[:TRAIN_CHUNKS]
+                chosen.append(cut(np.frombuffer(texts[i], dtype=np.uint8), starts[some], ends[some]))
                 count.append(len(chosen[-1]))
             symbols, n = np.concatenate(chosen), np.array(count)
             model = Model(parts["embed"], parts["filters"], parts["bias"], parts["weights"], float(parts["offset"][0]))
@@ -158,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_column: s
         return fit([], np.array([float(k) for k in counts]))
     dice = F.pmod(F.xxhash64(F.col(id_column), F.lit(41)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.when(F.col("y") == 0, min(1.0, PER_LABEL / counts[0])).otherwise(min(1.0, PER_LABEL / counts[1]))
-    picked = known.where(dice < rate).limit(3 * PER_LABEL)  # so few ids can be broadcast
+    picked = known.withColumn("dice", dice).where(F.col("dice") < rate).orderBy("dice", id_column).limit(3 * PER_LABEL).drop("dice")  # so few ids can be broadcast
     rows = docs.select(id_column, F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(picked), id_column)
     data = F.col("text").cast("binary")
     size, piece = F.octet_length("text"), SEEN // PIECES
@@ -168,17 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_column: s
     return fit([bytes(r["part"]) for r in sample], np.array([r["y"] for r in sample]), counts[1] / (counts[0] + counts[1]))
 
 
-def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of docs with `score` (in place of a column of that name), for every row."""
-    import pyspark.sql.types as T
+def scorer(model: Model):
+    """The score of a text column, as an Arrow function: no other column goes to the workers."""
 
-    columns = [c for c in docs.columns if c.lower() != "score"]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_column).alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        found = [score(data, offsets, model) for _, _, data, offsets in chunks(texts)]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [score(data, offsets, model) for _, _, data, offsets in chunks(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
+    return probability.asNondeterministic()  # so that a filter on the score doesn't compute it again
 
-    return rows.mapInArrow(run, schema).select("row.*", "score")
+
+def predict(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
+    """All columns of docs with `score` (in place of a column of that name), for every row."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"]
+    return docs.select(*columns, scorer(model)(F.col(text_column)).alias("score"))

@@ -474,7 +474,8 @@ def test_quality(spark, docs, empty, monkeypatch):
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 255, 256, 257, 448, 449, 5000):
         data = np.arange(n, dtype=np.int64).astype(np.uint8)
-        symbols, count = quality.cut(np.concatenate((data, data)), np.array([0, n, 2 * n]))
+        starts, ends, count = quality.spots(np.array([0, n, 2 * n]))
+        symbols = quality.cut(np.concatenate((data, data)), starts, ends)
         assert count[0] == count[1] and (symbols[: count[0]] == symbols[count[0] :]).all()
         covered = (count[0] - 1) * quality.STEP + quality.CHUNK
         assert covered >= n and (symbols != quality.PAD).sum() >= 2 * n
