@@ -20,27 +20,31 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     part = crc_mod("doc_id", 5)
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), F.expr(f"{part} <> 0"))
-    row = F.struct(*docs.columns).alias("row")
-    scored = quality.predict(docs.select(row, F.col("text")), model)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
+    return docs.where(quality.scorer(model)(F.col("text")) >= LEAST_QUALITY)
+
+
+def free_names(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return [name for name in (f"_{i}" for i in range(n + len(taken))) if name not in taken][:n]
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one repeats; one that consists of such lines alone goes."""
-    row = F.struct(*docs.columns).alias("row")
-    out = lines.dedup_lines(docs.select(row, "doc_id", "text")).where("n_lines = 0 or n_kept > 0")
-    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    before, after = free_names(docs, 2)
+    out = lines.dedup_lines(docs, counts=(before, after)).where(f"{before} = 0 or {after} > 0").drop(before, after)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest key, of each component of the Jaccard join. A row's key is its id (null ids
     last), then a hash of its text, so rows that share an id or have none are told apart by text."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    keyed = docs.withColumn("_key", key)
-    found = shingles.jaccard_components(keyed.select("_key", "text"), id_column="_key")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
+    (name,) = free_names(docs, 1)
+    keyed = docs.withColumn(name, key)
+    found = shingles.jaccard_components(keyed.select(name, "text"), id_column=name)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(first, name, "left_semi").dropDuplicates([name, "text"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
