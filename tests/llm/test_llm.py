@@ -298,12 +298,30 @@ def test_top_k_of_large_components(spark):
         topk.top_k(far, far).collect()
 
 
+def test_top_k_with_a_common_vector_and_other_columns(spark):
+    rng = random.Random(7)
+    vectors = [(i, [1.0, 0.5, -1.0] if i % 3 else [rng.uniform(-1, 1) for _ in range(3)]) for i in range(2500)]
+    vectors += [(100, [1.0, 0.5, -1.0])] * 9 + [(7, [2.0, 1.0, 0.0])] * 9
+    df = spark.createDataFrame([(i, v, 1, "x", 2.0, 3) for i, v in vectors], "vec_id long, embedding array<double>, h int, exact string, score double, rank int")
+    got = collections.Counter(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0")).collect()))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+    want = collections.Counter()
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert got == want
+
+
 def test_approximation_bounds_hold():
     rng = np.random.default_rng(5)
-    exact = rng.integers(-500, 500, (700, 16))
-    block = topk.Approximation(np.arange(700), exact)
-    queries = rng.integers(-500, 500, (20, 16)).astype(float)
-    assert (block.bounds(queries) >= queries @ exact.T).all()
+    for size in (500, 1 << 40):
+        exact = rng.integers(-size, size, (700, 16))
+        exact[3] = 0
+        queries = rng.integers(-size, size, (20, 16))
+        low, up = topk.Approximation(exact.astype(float)).bounds(queries.astype(float))
+        true = queries.astype(object) @ exact.T.astype(object)
+        assert (low <= true).all() and (true <= up).all()
 
 
 def test_mixing(spark, docs, rows, empty):
@@ -452,6 +470,25 @@ def test_language(spark, docs, empty):
     assert [r[0] for r in nothing] == ["und"]
 
 
+def test_every_language_is_learned(spark):
+    """150 languages, one of them seen once; null ids, repeated rows and other columns named like the results."""
+    rng = random.Random(16)
+    sounds = {f"l{k:03}": [f"{chr(0x4E00 + 40 * k + j)}" for j in range(12)] for k in range(150)}
+    made = [(i, "".join(rng.choices(sounds[k], k=40)), k, 0.5) for i, k in enumerate([*sort_twelve(sounds), "l149"])]
+    made += made[:3] + [(None, "".join(rng.choices(sounds["l003"], k=40)), "l003", 0.5)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, score double")
+    model = language.train(df, F.lit(True))
+    assert model.languages == sorted(sounds)
+    got = language.predict(df, model).collect()
+    assert len(got) == len(made)
+    truth = {r[0]: r[2] for r in made}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) > 0.9 * len(got)
+
+
+def sort_twelve(names):
+    return [k for k in names for _ in range(12 if k != "l149" else 0)]
+
+
 def test_quality(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(quality, "EPOCHS", 5)
     rng = random.Random(8)
