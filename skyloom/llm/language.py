@@ -2,13 +2,16 @@
 
 Subwords are all runs of 2, 3 and 4 bytes of a text (A-Z lower-cased), hashed to BUCKETS; their embeddings are
 averaged over the whole text and a linear layer gives a softmax over the learned languages. Training is
-stochastic gradient descent in numpy on the driver, over a bounded sample: about PER_LANGUAGE rows of each of
-the MOST_LANGUAGES most frequent languages, picked by a hash of the id, and of each row up to PASSAGES
-passages of PASSAGE bytes. A fifth of the sample calibrates: a temperature for the softmax, and the
-confidence under which a prediction is rejected (REJECT of the right predictions there fall below it).
-
-Prediction reads every whole text. Null text, or text without a letter, gives `und` with score 0.0. Without
-any row to learn from every prediction is `und`. Repeated rows stay repeated; an empty table gives no rows.
+stochastic gradient descent in numpy on the driver, over a bounded sample: about PER_LANGUAGE rows of each
+language (fewer, but one, where there are more than ROWS / PER_LANGUAGE languages), picked by a hash of the id, and of
+each row up to PASSAGES passages of PASSAGE bytes, from a stretch at a hashed place. Every language in the rows to learn
+from is learned. A fifth of the sample of languages with CALIBRATE rows or more there calibrates: a temperature for the
+softmax, and the confidence under which a prediction is rejected (REJECT of the right predictions there fall below it).
+
+Prediction reads every whole text. Null text, or text without a letter, gives `und` with score 0.0. Of languages with
+equal scores the first by name is predicted. Without any row to learn from every prediction is `und`. Null ids are
+learned from and predicted like others; repeated rows stay repeated; columns besides those named do not matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOW, chunks
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 12, (2, 3, 4)
-PER_LANGUAGE, MOST_LANGUAGES, PASSAGES, PASSAGE = 1000, 100, 2, 300
+PER_LANGUAGE, ROWS, PASSAGES, PASSAGE, CALIBRATE = 1000, 100_000, 2, 300, 10
 EPOCHS, RATE, REJECT = 4, 0.5, 0.01
+#: Steps of 16 passages that training takes at least, and more for each language.
+LEAST_STEPS, STEPS_EACH = 1500, 30
 
 
 @dataclass
@@ -97,7 +102,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> Model:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     y = np.searchsorted(np.array(languages), np.array(labels))
-    held = rng.random(len(y)) < 0.2
+    held = (rng.random(len(y)) < 0.2) & (np.bincount(y)[y] >= CALIBRATE)
     short, target = _passages([t for t, h in zip(texts, held, strict=True) if not h], y[~held], rng)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in short]))).astype(np.int64)
     ids, count = features(np.frombuffer(b"".join(short), dtype=np.uint8), offsets)
@@ -106,8 +111,9 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> Model:
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = np.zeros((k, WIDTH), np.float32), np.zeros(k, np.float32)
     usable = np.flatnonzero(count > 0)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-16 * (LEAST_STEPS + STEPS_EACH * k) // max(1, len(usable))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(usable), max(1, len(usable) // 16)):
             if not len(batch):
                 continue
@@ -139,17 +145,19 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> Model:
 def train(docs: DataFrame, may_learn: Column, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     """Fit on a bounded sample of the rows where may_learn holds and neither text nor language is null."""
     rows = docs.where(may_learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = rows.groupBy(lang_column).count().orderBy(F.col("count").desc(), lang_column).limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(lang_column).count().collect()  # a row for each language
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, PER_LANGUAGE / r[1]))])
-    dice = F.pmod(F.xxhash64(F.col(id_column), F.lit(31)), F.lit(1 << 40)) / float(1 << 40)
-    picked = rows.where(dice < F.coalesce(F.element_at(share, F.col(lang_column)), F.lit(0.0))).select(id_column, text_column, lang_column)
-    size = F.octet_length(text_column)
+    spark, most = docs.sparkSession, max(1, min(PER_LANGUAGE, ROWS // len(counts)))
+    rates = spark.createDataFrame([(r[0], min(1.0, (3 * most + 20) / r[1])) for r in counts], "learned string, rate double")
+    size, hashed = F.octet_length(text_column), F.xxhash64(F.col(id_column), F.col(text_column), F.lit(31))
     spot = 1 + F.pmod(F.xxhash64(F.col(id_column), F.lit(32)), F.greatest(size - 2 * PASSAGE * PASSAGES, F.lit(1)).cast("long"))
-    picked = picked.select(id_column, F.substring(F.col(text_column).cast("binary"), spot.cast("int"), F.lit(2 * PASSAGE * PASSAGES)).alias("part"), lang_column)
-    sample = picked.orderBy(id_column, "part").limit(2 * PER_LANGUAGE * len(counts)).collect()
-    return fit([bytes(r["part"]) for r in sample], [r[lang_column] for r in sample])
+    part = F.substring(F.col(text_column).cast("binary"), spot.cast("int"), F.lit(2 * PASSAGE * PASSAGES))
+    picked = rows.select(F.col(lang_column).alias("lang"), hashed.alias("dice"), part.alias("part")).join(rates, F.col("lang") == F.col("learned"))
+    picked = picked.where(F.pmod("dice", F.lit(1 << 40)) / float(1 << 40) < F.col("rate"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("dice", F.lit(1 << 40)), "dice", "part"))
+    sample = picked.withColumn("place", place).where(F.col("place") <= most).orderBy("dice", "lang", "part").collect()  # at most ROWS, or a row for each language
+    return fit([bytes(r.part) for r in sample], [r.lang for r in sample])
 
 
 def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
