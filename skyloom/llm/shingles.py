@@ -170,7 +170,7 @@ def _flat(nodes: pa.Array, lists: list[np.ndarray]) -> pa.RecordBatch:
 def _shared(keyed: DataFrame) -> DataFrame:
     """Rows (node, key) whose key another node has, with the number of its nodes."""
     by = Window.partitionBy("key")
-    return keyed.select("node", "key", F.count("*").over(by).alias("df")).where("df > 1")
+    return keyed.select("node", "key", F.count("*").over(by).cast("int").alias("df")).where("df > 1")
 
 
 def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -198,7 +198,7 @@ def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
             yield _flat(part.column(0), [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in part.column(1)])
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    read = saved(hashed.mapInArrow(look, f"doc_id {kind}, hash long, n long, node long, s2 long, more long, keys binary"), "read")
+    read = saved(hashed.mapInArrow(look, f"doc_id {kind}, hash long, n long, node long, s2 long, more long, keys binary"), "read", rows=1000)
     own_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     reps = read.where("n > 0").groupBy("n", "node", "s2").agg(F.min(own_first).alias("rep"), F.count("*").alias("rows"), F.first("more").alias("more"), F.first("keys").alias("keys"))
     reps = saved(reps, "reps")
@@ -223,8 +223,9 @@ def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
     wanted = active.select("node", F.col("doc_id").alias("id"), F.col("hash").alias("own_hash"))
     texts = hashed.join(wanted, (F.col("hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     # rows repeated with their ids give their set more than once
-    own = saved(texts.mapInArrow(whole, "node long, own binary").groupBy("node").agg(F.first("own").alias("own")), "own")
+    own = saved(texts.mapInArrow(whole, "node long, own binary").groupBy("node").agg(F.first("own").alias("own")), "own", rows=1000)
     counted = _shared(own.mapInArrow(uncommon, "node long, key long")).groupBy("node").agg(F.collect_list("df").alias("df"), F.collect_list("key").alias("keys"))
+    counted = saved(counted, "counted")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -233,7 +234,7 @@ def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
                 s = np.frombuffer(own.as_buffer(), dtype=np.uint64)
                 common = s[is_in(s, by_hash)]
                 common = common[np.argsort(rank[np.searchsorted(by_hash, common)])]
-                times = df.values.to_numpy() if df.is_valid else np.zeros(0, np.int64)
+                times = df.values.to_numpy() if df.is_valid else np.zeros(0, np.int32)
                 others = key.values.to_numpy().view(np.uint64) if df.is_valid else _EMPTY
                 order = np.lexsort((others, times))
                 shared = np.concatenate((others[order], common))
@@ -243,7 +244,9 @@ def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(5)], names=["key", "node", "n", "alone", "place"])
 
     keyed = own.join(counted, "node", "left").select("node", "own", "df", "keys").mapInArrow(index, "key long, node long, n long, alone long, place long")
-    return rows, classes, own, saved(keyed, "index")
+    keyed = saved(keyed, "index")
+    release(counted, active)
+    return rows, classes, own, keyed
 
 
 def _meet(per_cent: int) -> str:
