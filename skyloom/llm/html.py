@@ -1,19 +1,24 @@
-"""Main text of web pages: boilerplate elements go by kind, site templates by subtree hashes counted per host.
+"""Main text of web pages: site templates go by subtree hashes counted per host, other boilerplate by kind.
 
 A page is parsed into elements (open tags end where HTML lets them be left out; scripts, styles and comments hold
-no text). Elements that are menus, footers, sidebars, notices, adverts, forms, reader comments and the like by tag,
-role or class go; a class or id must be a listed name as a whole. Names are not looked at on headings, on <main>, on
-paragraphs of the main part, and on what holds the page's <main> or <article> that has fewest named elements around it
-(articles in lists of comments or of other articles are not the page's). The main part is all that is in <article> or <main>, or the whole body of a page without them. Each
-block element of the main part has a hash of its subtree (tag, class, texts and child hashes); one that occurs on
-SHARE of a host's pages and on MIN_PAGES of them or more is template, and goes. Inside <article> and <main>, pages
-of one main text count as one page, and headings and plain paragraphs (no class or id, no block element within) do
-not go for being repeated, since sites do publish the same paragraph twice.
+no text). Each block element has a hash of its subtree (tag, class, texts and child hashes; of a menu, footer or the like
+the source). Hashes are counted per host over all pages, in the main part and around it; one that occurs on SHARE of a
+host's pages and on MIN_PAGES of them or more is template, and goes. Inside <article> and <main>, pages of one main
+text count as one page, and headings and plain paragraphs (no class or id, no block element within) do not go for being
+repeated, since sites do publish the same paragraph twice.
+
+What is boilerplate on few pages only is told by kind: elements that are menus, footers, sidebars, notices, adverts,
+forms, reader comments and the like by tag, role or class go; a class or id must be a listed name as a whole. Names are
+not looked at on headings, on <main>, on paragraphs of the main part, and on what holds the page's <main> or <article>
+that has fewest named elements around it (articles in lists of comments or of other articles are not the page's). The
+main part is all that is in <article> or <main>, or the whole body of a page without them. n_template counts a page's
+elements that are templates, n_listed those that only their kind tells.
 
 Text breaks into blocks at block elements and <br>. Character references are decoded, white space in a block becomes
 one space, empty blocks vanish, blocks are joined by one line feed. Null or empty html gives empty text; broken or
-truncated markup is read as far as it goes; pages without a host are compared with none. Repeated rows stay
-repeated (and count for the shares, but for copies inside <article> and <main>); an empty table gives no rows; other columns do not matter.
+truncated markup is read as far as it goes; pages without a host are compared with none. Null ids are rows like others;
+repeated rows stay repeated (and count for the shares, but for copies inside <article> and <main>); an empty table gives
+no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SHARE, MIN_PAGES = 0.5, 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<", re.S)
@@ -46,13 +53,14 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Element:
-    __slots__ = ("tag", "name", "gone", "named", "main", "parent", "kids", "value", "plain")
+    __slots__ = ("tag", "name", "gone", "named", "main", "parent", "kids", "value", "plain", "span")
 
     def __init__(self, tag: str, name: str, gone: bool, named: int, parent: _Element | None) -> None:
         self.tag, self.name, self.gone, self.named, self.parent = tag, name, gone, named, parent
         self.main = tag if tag in _MAIN else parent.main if parent else ""
         self.kids: list[str | _Element] = []
         self.value = 0
+        self.span: list[int] = []  # of the source of what is gone by its tag or role
         self.plain = not name.strip()  # neither class or id nor, as far as read, a block element within
 
 
@@ -76,7 +84,7 @@ def _gone(tag: str, attributes: str, inside: str) -> tuple[bool, int, str]:
     return False, named, name
 
 
-def _settle(seen: list[_Element]) -> None:
+def _settle(seen: list[_Element], html: str) -> None:
     """Spare what holds the page's main part, drop other elements with listed names, and hash the subtrees."""
     within: list[tuple[int, _Element]] = []
     for e in seen:
@@ -94,16 +102,20 @@ def _settle(seen: list[_Element]) -> None:
             up.named = 0
             up = up.parent
     for e in seen:
-        e.gone = e.named > 0 or e.parent.gone
+        e.gone = e.gone or e.named > 0 or e.parent.gone
     for e in reversed(seen):
-        digest = xxhash.xxh64(f"{e.tag} {'' if e.gone else e.name}")
-        for kid in () if e.gone else e.kids:
-            digest.update(kid if isinstance(kid, str) else kid.value.to_bytes(8, "little", signed=True))
+        digest = xxhash.xxh64(f"{e.tag} {e.name}")
+        if e.span:
+            digest.update(" ".join(html[slice(*e.span)].split()))
+        for kid in e.kids:
+            # what goes by its kind doesn't tell what holds it apart from others
+            own = not isinstance(kid, str) and kid.gone and not e.gone
+            digest.update(kid if isinstance(kid, str) else f"\0{kid.tag}" if own else kid.value.to_bytes(8, "little", signed=True))
         e.value = digest.intdigest() - (1 << 63)
 
 
 def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
-    """Blocks of text outside boilerplate, each with its element, and the elements outside boilerplate."""
+    """Blocks of text outside boilerplate, each with its element, and the elements but those in ones gone by tag or role."""
     root = _Element("", "", False, 0, None)
     top, seen, blocks, held, owner = root, [], [], [], root
     end, at = len(html), 0
@@ -122,6 +134,8 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
     def close(upto: _Element) -> None:
         nonlocal top
         while top is not upto.parent:
+            if top.span:
+                top.span[1] = at
             if top.named:
                 flush()
             if held and top.tag in _BLOCK:
@@ -194,34 +208,34 @@ def parse(html: str) -> tuple[list[tuple[str, _Element]], list[_Element]]:
                 e.plain = False
                 e = e.parent
         around, top = top, _Element(tag, name, gone, named, top)
-        if not gone:
-            seen.append(top)
+        if gone:
+            top.span = [m.start(), end]
         if not around.gone:
-            around.kids.append(f"\0{tag}" if gone else top)
+            seen.append(top)
+            around.kids.append(top)
     flush()
-    _settle(seen)
-    return [(text, e) for text, e in blocks if not e.gone], [e for e in seen if not e.gone]
-
+    _settle(seen, html)
+    return [(text, e) for text, e in blocks if not e.gone], seen
 
-def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int | None]:
-    """Blocks of the main part, each with the hashes of the subtrees it is in, all hashes of the main part, and the hash
-    of its text if it is in <article> or <main>.
 
-    Hashes are given only where repetition may tell a template.
-    """
+def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], list[int], list[int], int | None]:
+    """Blocks of the main part, each with the hashes of the subtrees it is in; all hashes where repetition may tell a
+    template; those of elements that are gone by their kind; and the hash of the main text if it is in <article> or <main>."""
     blocks, seen = parse(html)
-    if not any(e.main for e in seen):
-        return [(text, _path(e)) for text, e in blocks], sorted({e.value for e in seen if _counted(e)}), None
-    blocks = [(text, e) for text, e in blocks if e.main]
-    whole = xxhash.xxh64("\n".join(text for text, _ in blocks)).intdigest() - (1 << 63)
-    return [(text, _path(e)) for text, e in blocks], sorted({e.value for e in seen if e.main and _counted(e)}), whole
+    whole = None
+    if any(e.main and not e.gone for e in seen):
+        blocks = [(text, e) for text, e in blocks if e.main]
+        whole = xxhash.xxh64("\n".join(text for text, _ in blocks)).intdigest() - (1 << 63)
+    counted = {e.value for e in seen if _counted(e)}
+    listed = {e.value for e in seen if e.gone and not e.parent.gone and _counted(e)}
+    return [(text, _path(e)) for text, e in blocks], sorted(counted), sorted(listed), whole
 
 
 def _counted(e: _Element) -> bool:
     """Whether an element may be a template: an inline one may not, as its block goes on after it."""
     if e.tag not in _BLOCK or e.tag in ("html", "body", *_MAIN):
         return False
-    return not (e.main and (e.plain or e.tag in _HEADINGS))
+    return e.gone or not (e.main and (e.plain or e.tag in _HEADINGS))
 
 
 def _path(e: _Element | None) -> list[int]:
@@ -234,7 +248,7 @@ def _path(e: _Element | None) -> list[int]:
 
 
 def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row of pages."""
+    """(page_id, url, text, n_template, n_listed) of every row of pages."""
     kind = pages.schema[id_column].dataType.simpleString()
     host = F.lower(F.regexp_extract(url_column, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.when(host != "", host).alias("host"), F.col(html_column).alias("html"))
@@ -245,11 +259,12 @@ def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGE
                 part = batch.slice(at, 256)
                 found = [main_blocks(h.as_py() or "") for h in part.column(3)]
                 blocks = pa.array([[{"text": t, "path": p} for t, p in f[0]] for f in found], pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])))
-                hashes = pa.array([f[1] for f in found], pa.list_(pa.int64()))
-                wholes = pa.array([f[2] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], blocks, hashes, wholes], names=["page_id", "url", "host", "blocks", "hashes", "whole"])
+                hashes, listed = (pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (1, 2))
+                wholes = pa.array([f[3] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], blocks, hashes, listed, wholes], names=["page_id", "url", "host", "blocks", "hashes", "listed", "whole"])
 
-    parsed = rows.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<text: string, path: array<long>>>, hashes array<long>, whole long")
+    parsed = rows.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<text: string, path: array<long>>>, hashes array<long>, listed array<long>, whole long")
+    parsed = saved(parsed, "parsed", rows=1000)
     hosted = parsed.where("host is not null")
     # copies of a main text count once, which sums of pages by text give without any set of them
     alike = F.when(F.col("whole").isNull(), F.col("n")).otherwise(1)
@@ -257,8 +272,15 @@ def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGE
     found = hosted.select("host", "whole", F.explode("hashes").alias("hash")).groupBy("host", "hash", "whole").agg(F.count("*").alias("n"))
     counts = found.groupBy("host", "hash").agg(F.sum(alike).alias("n"))
     repeated = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    # at most 1 / share times the elements of the host's mean page
-    templates = repeated.groupBy("host").agg(F.collect_list("hash").alias("template"))
-    kept = parsed.drop("hashes", "whole").join(templates, "host", "left")
-    lines = F.transform(F.filter("blocks", lambda b: F.col("template").isNull() | ~F.coalesce(F.arrays_overlap(b["path"], "template"), F.lit(False))), lambda b: b["text"])
-    return kept.select("page_id", "url", F.array_join(lines, "\n").alias("text"))
+    # at most 1 / share times the elements of the host's mean page; a table of its own, so that Spark can split the pages of a host
+    templates = saved(repeated.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
+    none = F.array().cast("array<bigint>")
+    kept = parsed.join(templates, "host", "left").withColumn("template", F.coalesce("template", none))
+    lines = F.transform(F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["path"], "template"), F.lit(False))), lambda b: b["text"])
+    return kept.select(
+        "page_id",
+        "url",
+        F.array_join(lines, "\n").alias("text"),
+        F.size(F.array_intersect("hashes", "template")).cast("long").alias("n_template"),
+        F.size(F.array_except("listed", "template")).cast("long").alias("n_listed"),
+    )

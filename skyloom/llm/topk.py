@@ -158,7 +158,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: float =
     file = saved(file.withColumn("spot", F.pmod(F.xxhash64("ids"), F.lit(spots)).cast("int")), "cells")
     wide = _blocks(asked.coalesce(max(1, partitions(spark) // 8)), questions, "q_dims int, q_ids binary, q_hashes binary, q_exact binary")
     wide = saved(wide, "questions").withColumn("q_spot", F.explode(F.sequence(F.lit(0), F.lit(spots - 1))))
-    met = file.join(wide, (F.col("spot") == F.col("q_spot")) & (F.col("dims") == F.col("q_dims"))).select("dims", "ids", "hashes", "ranges", "cells", "q_ids", "q_hashes", "q_exact")
+    # the questions are more than their size on disk tells Spark, so they are not to be broadcast
+    met = file.join(wide.hint("merge"), (F.col("spot") == F.col("q_spot")) & (F.col("dims") == F.col("q_dims"))).select("dims", "ids", "hashes", "ranges", "cells", "q_ids", "q_hashes", "q_exact")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, bytes], _Held] = {}
