@@ -2,7 +2,9 @@
 
 Each byte becomes one printable character, each vocabulary entry a piece scored by its negative
 rank; normalisation is the identity. Pre-tokens (matches of the pattern) are encoded one by one.
-Null text counts as empty: no ids. Any text, whatever its length, is encoded whole.
+Null text counts as empty: no ids. Any text, whatever its length, is encoded whole; bytes that are no UTF-8 are read as
+U+FFFD. Null ids are rows like others; repeated rows stay repeated; columns besides id and text do not matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import _power_tables, chunks, mix
+from .common import _power_tables, chunks, mix, valid
 
 #: Pre-tokens whose ids a worker remembers; the memory is emptied beyond it.
 MEMO = 300_000
@@ -217,4 +219,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_column: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return docs.select(id_column, valid(text_column)).mapInArrow(run, schema + (", ids binary" if with_ids else ""))

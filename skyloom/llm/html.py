@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, valid
 
 SHARE, MIN_PAGES = 0.5, 5
 
@@ -251,7 +251,7 @@ def extract(pages: DataFrame, *, share: float = SHARE, min_pages: int = MIN_PAGE
     """(page_id, url, text, n_template, n_listed) of every row of pages."""
     kind = pages.schema[id_column].dataType.simpleString()
     host = F.lower(F.regexp_extract(url_column, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.when(host != "", host).alias("host"), F.col(html_column).alias("html"))
+    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.when(host != "", host).alias("host"), valid(html_column).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOW, chunks
+from .common import _LOW, chunks, valid
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 12, (2, 3, 4)
 PER_LANGUAGE, ROWS, PASSAGES, PASSAGE, CALIBRATE = 1000, 100_000, 2, 300, 10
@@ -181,4 +181,4 @@ def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "accepted"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    return docs.select(id_column, valid(text_column)).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")

@@ -12,7 +12,8 @@ different words before w, V the different tokens; D and D' are the three discoun
 unknown context has p(w); an unknown word has n(w) = 0. Without training text every word has p = 1 / (V + 1) = 1.
 
 Null text counts as empty: one token, the end. Repeated rows count and are scored each; a null id counts as the empty
-text in the split. Very long texts are read whole; an empty table gives no rows.
+text in the split. Very long texts are read whole; columns besides id and text do not
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

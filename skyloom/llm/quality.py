@@ -10,7 +10,9 @@ sample to the labels' own shares.
 
 Null text counts as empty; empty text is one chunk of padding and has a score like any other. Labels that
 contradict each other for an id, or are null, are not learned from; without both labels every score is the
-share of label 1 (1.0 if there are no labels). Repeated rows stay repeated; an empty table gives no rows.
+share of label 1 (1.0 if there are no labels). Null ids are not learned from but scored; repeated rows stay repeated;
+other columns stay, but for one named score; a score is predicted 1 from its threshold on, ties included. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
