@@ -6,7 +6,10 @@ with are deleted. Links from or to null are left out; without links there are no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, saved
@@ -30,3 +33,54 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if not new.where("label <> was").limit(1).count():
             release(both)
             return new.select("node", "label")
+
+
+def joined(index: DataFrame, verify: Callable[[DataFrame], DataFrame], *, columns: tuple[str, ...] = (), may: str = "true", first: Column | None = None, hubs: int = 2) -> DataFrame | None:
+    """(node, label) of the nodes that have a link, where nodes (key, node, columns) that share a key may have one; None
+    without links.
+
+    verify gives the links among pairs (a, b). may, of the columns of both (those of the other end in 2), tells pairs that
+    can link. The nodes of a key are first compared with one of them, its hub (the least by `first`), so a key of any size
+    gives a pair a row; other hubs are drawn for what is still apart, hubs times in all. Then each node outside its
+    key's largest component meets all of the key's in other components: every pair that shares a key and may link is
+    verified, or its nodes are known to be connected.
+    """
+    found: list[DataFrame] = []
+    tried: list[DataFrame] = []
+    labels: DataFrame | None = None
+
+    def met(pairs: DataFrame) -> None:
+        nonlocal labels
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(saved(pairs, "pairs"))
+        linked = verify(tried[-1])
+        if linked.limit(1).count():
+            found.append(linked)
+            labels = components(reduce(DataFrame.unionByName, found), "a", "b")
+
+    def apart() -> DataFrame:
+        """The index with labels, of the keys with nodes in several components."""
+        if labels is None:
+            return index.withColumn("label", F.col("node"))
+        named = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        return saved(named.join(split, "key"), "apart")
+
+    other = [F.col(c).alias(f"{c}2") for c in ("label", *columns)]
+    for turn in range(hubs):
+        left = apart()
+        draw = F.struct(F.lit(0) if turn or first is None else first, F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
+        hub = left.groupBy("key").agg(F.min_by(F.struct("node", "label", *columns), draw).alias("h")).select("key", "h.*")
+        hub = hub.select("key", F.col("node").alias("b"), *other)
+        met(left.join(hub, "key").where(f"label <> label2 and {may}").select(F.col("node").alias("a"), "b"))
+    left = apart()
+    each = left.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = each.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    outside = left.join(main, "key").where("label <> main").withColumnRenamed("node", "a")
+    inside = left.select("key", F.col("node").alias("b"), *other)
+    # of two nodes outside the key's largest component, one is enough to bring the pair
+    met(outside.join(inside, "key").where(f"label <> label2 and (a < b or label2 = main) and {may}").select("a", "b"))
+    release(*tried)
+    return labels

@@ -5,11 +5,13 @@ coin that the step and the character fix. All texts share the coins, so an edit
 apart only until they meet again, and edit distance becomes Hamming distance of what they copy.
 The fingerprint keeps SAMPLES copied symbols from the first SAMPLES steps and from each doubling of
 the steps after, so it grows with the logarithm of the text; '.' marks a step beyond the walk.
-Likeness is the share of equal symbols, each doubling weighted by the steps it stands for.
+Likeness is the share of equal symbols, each doubling weighted by the steps it stands for. Near copies are found by
+bands, hashes of BAND symbols at places sampled over the whole walk, and each candidate is verified by its likeness.
 
 Null text counts as empty; the empty text has an empty fingerprint, alike 1.0 to another empty one
 and 0.0 to any other. Repeated rows stay repeated; rows with equal or null ids follow each other by
-text (null ids first), and one of them comes next to another. An empty table gives no rows.
+text (null ids first), and one of them comes next to another. Bytes that are no UTF-8 are read as U+FFFD; columns besides
+id and text do not matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix, partitions, saved
+from .common import mix, partitions, release, saved, valid
+from .components import joined
 
 #: Steps after which the coins repeat, and symbols kept of each doubling.
 PERIOD, SAMPLES = 128, 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
-#: Symbols a band takes, and bands.
-BAND, BANDS = 12, 10
+#: Symbols a band takes, bands, and the least likeness of near copies.
+BAND, BANDS, LEAST = 16, 20, 0.9
 
 
 #: Characters are dealt into so many kinds, by which the coins are thrown. A task walks so many characters at a time,
@@ -160,7 +164,7 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
         for batch in texts:
             yield pd.Series(fingerprints_of([t or "" for t in batch]), dtype=object)
 
-    return docs.select(F.col(id_column).alias("doc_id"), one(F.col(text_column)).alias("fingerprint"))
+    return docs.select(F.col(id_column).alias("doc_id"), one(valid(text_column)).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -171,11 +175,15 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     """
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), valid(text_column).alias("text"))
     ids = rows.select("doc_id")
     n = partitions(spark)
-    cuts = ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n) if n > 1 else F.lit(None)).first()[0] or []
-    cuts = np.array(sorted(set(cuts)))
+    if isinstance(docs.schema[id_column].dataType, T.NumericType):
+        cuts = ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n) if n > 1 else F.lit(None)).first()[0] or []
+    else:  # quantiles of a bounded sample
+        sample = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(100 * n).collect()
+        cuts = sorted(r.doc_id for r in sample)[100::100]
+    cuts = np.array(sorted(set(cuts)), dtype=None if cuts and isinstance(cuts[0], int) else object)
 
     @F.pandas_udf("int")
     def bucket(values: pd.Series) -> pd.Series:
@@ -239,49 +247,88 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     return dealt.mapInArrow(run, schema)
 
 
-@functools.lru_cache(maxsize=1)
-def _picks() -> tuple[np.ndarray, np.ndarray]:
-    """Places of each band in a doubling, and odd weights of a band's symbols."""
-    rng = np.random.default_rng(11)
-    picks = np.stack([np.sort(rng.choice(SAMPLES, BAND, replace=False)) for _ in range(BANDS)])
+@functools.lru_cache(maxsize=64)
+def _picks(levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each band among the symbols of so many doublings, each drawn as often as the steps it stands for, and odd
+    weights of a band's symbols."""
+    rng = np.random.default_rng(11 + levels)
+    span = np.array([1.0] + [2.0**i for i in range(levels - 1)])
+    picks = rng.choice(levels, (BANDS, BAND), p=span / span.sum()) * SAMPLES + rng.integers(0, SAMPLES, (BANDS, BAND))
     return picks, rng.integers(1, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _bands(fingerprint: str) -> list[int]:
-    """A hash for each band of each doubling; bands wholly beyond the walk have none."""
-    picks, weights = _picks()
-    found = np.frombuffer(fingerprint.encode(), dtype=np.uint8).reshape(-1, SAMPLES)[:, picks]
-    place = np.arange(1, found.shape[0] * BANDS + 1, dtype=np.uint64).reshape(-1, BANDS)
-    keys = mix(mix(place) + (found * weights).sum(axis=2, dtype=np.uint64))
-    return keys[(found != 46).any(axis=2)].view(np.int64).tolist()
+def bands(fingerprint: str) -> list[int]:
+    """A hash for each band over all doublings of the walk, and over all but the last, which copies that are a little
+    shorter may not reach."""
+    symbols = np.frombuffer(fingerprint.encode(), dtype=np.uint8)
+    levels, keys = len(symbols) // SAMPLES, []
+    for n in range(max(1, levels - 1), levels + 1):
+        picks, weights = _picks(n)
+        place = np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(n * BANDS)
+        keys.append(mix(mix(place) + (symbols[picks] * weights).sum(axis=1, dtype=np.uint64)))
+    return np.concatenate(keys).view(np.int64).tolist() if keys else []
 
 
-def near_pairs(docs: DataFrame, *, least: float = 0.9, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Near copies by bit-sampled bands: (doc_id, class_id) of every row, and verified pairs (class_id, other_id, near).
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(column: pd.Series) -> pd.Series:
+    return pd.Series([bands(x) for x in column], dtype=object)
 
-    Rows with equal fingerprints form a class named by its smallest id. Each doubling of the walk has BANDS bands of BAND
-    of its sampled symbols, so copies may differ at any place; all classes that share a band are compared, and none
-    is skipped for being in a large one.
-    """
-    prints = saved(fingerprints(docs, id_column=id_column, text_column=text_column), "prints")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    members = prints.join(classes, "fingerprint").select("doc_id", "class_id")
-    classes = saved(classes.withColumn("node", F.xxhash64("fingerprint")), "classes")
 
-    @F.pandas_udf("array<long>")
-    def bands(column: pd.Series) -> pd.Series:
-        return pd.Series([_bands(x) for x in column], dtype=object)
+@F.pandas_udf(T.DoubleType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
 
-    keyed = classes.select("node", F.explode(bands("fingerprint")).alias("band"))
-    one, two = keyed.select("band", F.col("node").alias("a")), keyed.select("band", F.col("node").alias("b"))
-    found = one.join(two, "band").where("a < b").select("a", "b").distinct()
+def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with likeness `least` or more, and their likeness."""
+    one = classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("x"))
+    two = classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", _near("x", "y").alias("near")).where(F.col("near") >= least)
 
-    @F.pandas_udf("double")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    left = classes.select(F.col("node").alias("a"), F.col("class_id").alias("id_a"), F.col("fingerprint").alias("print_a"))
-    right = classes.select(F.col("node").alias("b"), F.col("class_id").alias("id_b"), F.col("fingerprint").alias("print_b"))
-    pairs = found.join(left, "a").join(right, "b").withColumn("near", near("print_a", "print_b")).where(F.col("near") >= least)
+def _banded(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (node, fingerprint, class_id) of equal fingerprints, and the bands (key, node) that several share."""
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    classes = saved(classes.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "class_id"), "classes")
+    keyed = saved(classes.select("node", F.explode(_bands("fingerprint")).alias("key")), "bands")
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    index = saved(keyed.join(several, "key"), "index")
+    release(keyed)
+    return classes, index
+
+
+def near_components(prints: DataFrame, *, least: float = LEAST) -> DataFrame:
+    """(node, class_id, near_id) of each fingerprint of prints (doc_id, fingerprint), node being its hash: class_id is the
+    smallest id with that fingerprint, near_id the smallest reachable by links, which join fingerprints that share a band
+    and have a likeness of `least` or more. Null ids take part, but name a class only if all its ids are null."""
+    classes, index = _banded(prints)
+    labels = joined(index, lambda pairs: saved(_verified(pairs, classes, least).select("a", "b"), "links"))
+    if labels is None:
+        return classes.select("node", "class_id", F.col("class_id").alias("near_id"))
+    merged = classes.select("node", "class_id").join(labels, "node")
+    smallest = merged.groupBy("label").agg(F.min("class_id").alias("near_id"))
+    merged = merged.join(smallest, "label").select("node", "near_id")
+    return saved(classes.join(merged, "node", "left").select("node", "class_id", F.coalesce("near_id", "class_id").alias("near_id")), "near")
+
+
+def with_near(rows: DataFrame, *, least: float = LEAST) -> DataFrame:
+    """Rows (doc_id, fingerprint, ...) with class_id and near_id; `node` is replaced."""
+    rows = saved(rows, "prints")
+    found = near_components(rows.select("doc_id", "fingerprint"), least=least)
+    return rows.withColumn("node", F.xxhash64("fingerprint")).join(found, "node", "left").drop("node")
+
+
+def near_pairs(docs: DataFrame, *, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Near copies by bit-sampled bands: (doc_id, class_id) of every row, and verified pairs (class_id, other_id, near).
+
+    Rows with equal fingerprints form a class named by its smallest id. All classes that share a band are compared, and none
+    is skipped for being in a large one; near_components is the cheaper way where only what is connected matters.
+    """
+    prints = saved(fingerprints(docs, id_column=id_column, text_column=text_column), "prints")
+    classes, index = _banded(prints)
+    members = prints.withColumn("node", F.xxhash64("fingerprint")).join(classes.select("node", "class_id"), "node").select("doc_id", "class_id")
+    one, two = index.withColumnRenamed("node", "a"), index.withColumnRenamed("node", "b")
+    pairs = saved(_verified(one.join(two, "key").where("a < b").select("a", "b").distinct(), classes, least), "near")
+    pairs = pairs.join(classes.select(F.col("node").alias("a"), F.col("class_id").alias("id_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("class_id").alias("id_b")), "b")
     later = F.col("id_a") > F.col("id_b")
     return members, pairs.select(F.when(later, F.col("id_a")).otherwise(F.col("id_b")).alias("class_id"), F.when(later, F.col("id_b")).otherwise(F.col("id_a")).alias("other_id"), "near")

@@ -12,7 +12,7 @@ from .common import crc_mod, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edits.with_near(edits.edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,6 @@ columns besides id and text do not matter; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, mix, release, saved, words
-from .components import components
+from .components import joined
 
 WORDS, PER_CENT = 5, 75
 #: One text in SAMPLE is searched for heavy shingles: those that HEAVY texts or more of it have, the LISTED most frequent.
@@ -272,45 +271,8 @@ def jaccard_components(docs: DataFrame, *, size: int = WORDS, per_cent: int = PE
     component_id the smallest reachable by links."""
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     rows, classes, own, index = _indexed(docs, size, per_cent)
-    may = _meet(per_cent)
-    found: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    labels: DataFrame | None = None
-
-    def verify(pairs: DataFrame) -> None:
-        nonlocal labels
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-        tried.append(saved(pairs, "pairs"))
-        linked = _verified(tried[-1], own, per_cent)
-        if linked.limit(1).count():
-            found.append(linked)
-            labels = components(reduce(DataFrame.unionByName, found), "a", "b")
-
-    def apart() -> DataFrame:
-        """The index with labels, of the keys with documents in several components."""
-        if labels is None:
-            return index.withColumn("label", F.col("node"))
-        named = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        return saved(named.join(split, "key"), "apart")
-
-    other = [F.col(c).alias(f"{c}2") for c in ("label", "n", "alone", "place")]
-    for turn in range(hubs):
-        left = apart()
-        # the first hub is a set with few shingles of its own, which others may be made from
-        draw = F.struct(F.lit(0) if turn else F.col("alone"), F.xxhash64("label", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
-        hub = left.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", "alone", "place"), draw).alias("h")).select("key", "h.*")
-        hub = hub.select("key", F.col("node").alias("b"), *other)
-        verify(left.join(hub, "key").where(f"label <> label2 and {may}").select(F.col("node").alias("a"), "b"))
-    left = apart()
-    each = left.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = each.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    outside = left.join(main, "key").where("label <> main").withColumnRenamed("node", "a")
-    inside = left.select("key", F.col("node").alias("b"), *other)
-    # of two documents outside the key's largest component, one is enough to bring the pair
-    verify(outside.join(inside, "key").where(f"label <> label2 and (a < b or label2 = main) and {may}").select("a", "b"))
+    # the first hub is a set with few shingles of its own, which others may be made from
+    labels = joined(index, lambda pairs: _verified(pairs, own, per_cent), columns=("n", "alone", "place"), may=_meet(per_cent), first=F.col("alone"), hubs=hubs)
     if labels is None:
         named = classes.withColumn("component_id", F.col("class_id"))
     else:

@@ -86,35 +86,100 @@ def test_fingerprint_follows_edit_distance():
     assert edits.likeness("", "") == 1 and edits.likeness("", edits.fingerprints_of(["a"])[0]) == 0
 
 
-def test_near_pairs_finds_copies(docs, rows):
-    members, pairs = edits.near_pairs(docs, least=0.8)
-    classes = {r.doc_id: r.class_id for r in members.collect()}
-    again = [r[0] for r in rows if r[1] == rows[0][1]]
-    assert len({classes[i] for i in again}) == 1
-    assert pairs.where("near < 0.8").count() == 0
-
-
-def test_near_pairs_loses_no_pair_to_openings_or_hubs(spark):
-    rng = random.Random(5)
+def plain_walk(text):
+    """The walk step by step: copy the character under the pointer, then move on if the coin of step and character says so."""
+    stays, kinds, symbols = edits._stays().reshape(edits.KINDS, edits.PERIOD), edits._kinds() // edits.PERIOD, edits._symbols()
+    copied, at, step = [], 0, 0
+    while at < len(text):
+        copied.append(symbols[ord(text[at])])
+        at += int(stays[kinds[ord(text[at])], step % edits.PERIOD] == 1)
+        step += 1
+    return copied
+
+
+def test_fingerprints_are_samples_of_the_plain_walk():
+    rng = random.Random(13)
+    for n in (0, 1, 5, 70, 900):
+        text = "".join(rng.choices("abc é日\n", k=n))
+        copied = plain_walk(text)
+        levels = 0 if not copied else 1 + max(0, (len(copied) - 1) // edits.SAMPLES).bit_length()
+        places = edits._sampled()[: levels * edits.SAMPLES]
+        want = bytes(copied[p] if p < len(copied) else 46 for p in places.tolist()).decode()
+        assert edits.fingerprints_of([text]) == [want]
+
+
+def test_awkward_rows(spark):
+    """String and null ids, repeated rows and bytes that are no UTF-8, through each operator that reads texts in Python."""
+    made = [("b", "two words"), ("a", "one"), (None, "none"), ("b", "two words"), (None, None), ("c", "")]
+    df = spark.createDataFrame(made, "doc_id string, text string").unionByName(spark.sql("select 'd' doc_id, cast(X'61FF20C328' as string) text"))
+    df = df.selectExpr("*", "'en' lang", "1 n_tokens", "2.0 score", "'x' fingerprint", "3 node")
+    texts = dict(r for r in made if r[0]) | {"d": "a\ufffd \ufffd("}
+    got = edits.edited_fingerprints(df).collect()
+    order = [(None, ""), (None, "none"), *sorted((k, t) for k, t in [*made, ("d", texts["d"])] if k)]
+    want = collections.Counter((k, len(t), hashlib.sha256(edits.replaced(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    codec = bpe.Codec(bpe.serialise([bytes([i]) for i in range(256)]), [bytes([i]) for i in range(256)], r"\S+|\s+")
+    assert codec.decode(codec.encode(texts["d"])) == texts["d"].encode()
+    tokenizers = pytest.importorskip("public_tokenizers")
+    encoded = bpe.encode_documents(df, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).collect()
+    digests = collections.Counter((k, hashlib.sha256((t or "").encode()).hexdigest()) for k, t in [*made, ("d", texts["d"])])
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in encoded) == digests
+    assert language.predict(df, language.train(df, F.lit(True))).count() == len(made) + 1
+    labels = spark.createDataFrame([("a", 1), ("b", 0), (None, 1)], "doc_id string, quality int")
+    scored = quality.predict(df, quality.train(df, labels, F.lit(True)))
+    assert scored.columns == [*(c for c in df.columns if c != "score"), "score"] and scored.where("score between 0 and 1").count() == len(made) + 1
+    counted = lm.score(df, lm.train(df)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in counted} == {"a": 1, "b": 2, "c": 1, "d": 1, None: 2}
+    kept = lines.dedup_lines(df).select("doc_id", "n_kept").collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter({("b", 1): 2, ("a", 1): 1, (None, 1): 1, (None, 0): 1, ("c", 0): 1, ("d", 1): 1})
+    taken = mixing.mix_sources(df.withColumn("source", F.lit("s"))).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in taken} == {"a": 1, "b": 2, "c": 1, "d": 1, None: 2}
+    members = {r.doc_id: r.component_id for r in shingles.jaccard_components(df).collect()}
+    assert members == {"a": "a", "b": "b", "c": "c", "d": "d", None: None}
+
+
+def near_copies(rng):
+    """Texts with edits at the start, in the middle and at the end, and some that share an opening only."""
 
     def made(n):
         return "".join(rng.choices("abcdefghij ", k=n))
 
-    opening = made(300)
-    texts = []
-    for _ in range(8):
-        body = made(6000)
-        texts += [made(100) + body, made(100) + body]  # other first lines
-    for _ in range(8):
-        body = made(3000)
-        texts += [opening + body, opening + body[:-200] + made(200)]  # one opening for all
+    opening, texts, copies = made(300), [], []
+    for place in (0, 0.5, 1):
+        for _ in range(30):
+            body = list(made(rng.randint(300, 5000)))
+            texts.append("".join(body))
+            at = int(place * (len(body) - 12))
+            for i in range(at, at + 12, 4):
+                body[i] = rng.choice("xyz")
+            texts.append("".join(body))
+            copies.append((len(texts) - 2, len(texts) - 1))
+    return texts + [opening + made(3000) for _ in range(20)], copies
+
+
+def test_near_pairs_and_components(spark):
+    texts, copies = near_copies(random.Random(5))
     prints = edits.fingerprints_of(texts)
-    near = {(j, i) for j in range(len(texts)) for i in range(j) if edits.likeness(prints[i], prints[j]) >= 0.8}
-    assert len(near & {(i + 1, i) for i in range(0, 16, 2)}) > 4 and len(near & {(i + 1, i) for i in range(16, 32, 2)}) > 4
-    _, pairs = edits.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=0.8)
-    got = [(r.class_id, r.other_id) for r in pairs.collect()]
-    alike = [prints.index(x) for x in prints]  # equal fingerprints are one class
-    assert len(got) == len(set(got)) and set(got) == {(j, i) for j, i in near if (alike[j], alike[i]) == (j, i)}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if edits.likeness(prints[i], prints[j]) >= edits.LEAST}
+    assert len(near & set(copies)) > 80 and near <= set(copies)
+    near = {(i, j) for i, j in near if prints[i] != prints[j]}  # equal fingerprints are one class
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (500, None), (501, "")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, key int")
+    members, pairs = edits.near_pairs(df)
+    got = [(r.other_id, r.class_id) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) <= {(b, a) for a, b in near} | near
+    assert len(got) >= 0.95 * len(near)
+    for part in range(3):
+        wanted = near & set(copies[30 * part : 30 * part + 30])
+        assert len(wanted & {tuple(sorted(p)) for p in got}) >= 0.9 * len(wanted)
+    classes = collections.Counter(map(tuple, members.collect()))
+    assert classes[3, 3] == 2 and classes[None, 4] == 1 and classes[500, 500] == classes[501, 500] == 1 and len(classes) == len(texts) + 3
+    assert all(classes[i, prints.index(p)] for i, p in enumerate(prints))
+    found = edits.with_near(edits.edited_fingerprints(df)).collect()
+    assert len(found) == len(rows)
+    linked = {max(p): min(p) for p in got}
+    assert all(r.near_id == linked.get(r.class_id, r.class_id) for r in found)
+    assert edits.with_near(edits.edited_fingerprints(df.where("false"))).count() == 0
 
 
 def brute_components(rows):
