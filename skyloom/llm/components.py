@@ -1,13 +1,14 @@
-"""Connected components of a table of links, by hooking to the smallest neighbour and pointer jumping.
+"""Connected components of a table of links, by contraction, and the join of what shares keys into components.
 
-Every round writes its table to the shared folder, so lineage stays short and nothing is collected; tables that are done
-with are deleted. Links from or to null are left out; without links there are no rows.
+Every round maps each node to the smallest of itself and its neighbours (and that one's), and replaces the ends of the links
+by what they are mapped to, so links within a component vanish; the smallest node of a component is never mapped to
+another. Each round writes its tables to the shared folder, so lineage stays short and nothing is collected; tables that
+are done with are deleted. Links from or to null are left out; without links there are no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,24 +16,36 @@ from pyspark.sql import functions as F
 from .common import release, saved
 
 
+def _renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Rows with a column's values replaced by the labels that names (node, label) has for them."""
+    names = names.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(names, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_label", column)).drop("_node", "_label")
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node reachable from each node that has a link. Links may repeat, in either direction."""
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    both = saved(both.where("node <> other").distinct(), "links")
-    labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
-    while True:
-        # the smallest label among the neighbours' labels, offered to a node and to the node it points to
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("offer"))
-        offered = near.join(labels, "node").select("node", "label", F.least("offer", "label").alias("offer"))
-        hooks = offered.select(F.col("label").alias("node"), "offer").unionByName(offered.select("node", "offer")).groupBy("node").agg(F.min("offer").alias("offer"))
-        hooked = saved(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("was")), "hooked")
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = saved(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
-        release(labels, hooked)
-        labels = new
-        if not new.where("label <> was").limit(1).count():
-            release(both)
-            return new.select("node", "label")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    left = saved(plain(links.select(F.col(a).alias("a"), F.col(b).alias("b"))), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
+        near = saved(near, "near")
+        rounds.append(saved(_renamed(near, "label", near), "mapped"))
+        release(near)
+        old, left = left, saved(plain(_renamed(_renamed(left, "a", rounds[-1]), "b", rounds[-1])), "links")
+        release(old)
+    labels = rounds[0]
+    for later in rounds[1:]:
+        labels = _renamed(labels, "label", later)
+    if len(rounds) > 1:
+        labels = saved(labels, "labels")
+        release(*rounds)
+    release(left)
+    return labels
 
 
 def joined(index: DataFrame, verify: Callable[[DataFrame], DataFrame], *, columns: tuple[str, ...] = (), may: str = "true", first: Column | None = None, hubs: int = 2) -> DataFrame | None:
@@ -45,20 +58,23 @@ def joined(index: DataFrame, verify: Callable[[DataFrame], DataFrame], *, column
     key's largest component meets all of the key's in other components: every pair that shares a key and may link is
     verified, or its nodes are known to be connected.
     """
-    found: list[DataFrame] = []
     tried: list[DataFrame] = []
     labels: DataFrame | None = None
 
     def met(pairs: DataFrame) -> None:
         nonlocal labels
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         tried.append(saved(pairs, "pairs"))
         linked = verify(tried[-1])
-        if linked.limit(1).count():
-            found.append(linked)
-            labels = components(reduce(DataFrame.unionByName, found), "a", "b")
+        if not linked.limit(1).count():
+            return
+        if labels is None:
+            labels = components(linked, "a", "b")
+        else:
+            new = components(_renamed(_renamed(linked, "a", labels), "b", labels), "a", "b")
+            labels = saved(_renamed(labels.unionByName(new.withColumn("label", F.col("node"))).distinct(), "label", new), "labels")
 
     def apart() -> DataFrame:
         """The index with labels, of the keys with nodes in several components."""

@@ -6,7 +6,8 @@ apart only until they meet again, and edit distance becomes Hamming distance of
 The fingerprint keeps SAMPLES copied symbols from the first SAMPLES steps and from each doubling of
 the steps after, so it grows with the logarithm of the text; '.' marks a step beyond the walk.
 Likeness is the share of equal symbols, each doubling weighted by the steps it stands for. Near copies are found by
-bands, hashes of BAND symbols at places sampled over the whole walk, and each candidate is verified by its likeness.
+bands, hashes of BAND symbols at places sampled over the whole walk, and each candidate is verified by its likeness
+(class_id: the smallest id of an equal fingerprint; near_id: the smallest that links reach).
 
 Null text counts as empty; the empty text has an empty fingerprint, alike 1.0 to another empty one
 and 0.0 to any other. Repeated rows stay repeated; rows with equal or null ids follow each other by
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, partitions, release, saved, valid
+from .common import mix, partitions, saved, valid
 from .components import joined
 
 #: Steps after which the coins repeat, and symbols kept of each doubling.
 PERIOD, SAMPLES = 128, 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
-#: Symbols a band takes, bands, and the least likeness of near copies.
-BAND, BANDS, LEAST = 16, 20, 0.9
+#: Symbols a band takes, bands, and the least likeness that links. Texts with a likeness of 0.9 share a band with a
+#: probability of 0.98, those with less in fewer cases: what is compared is verified, but bands are no exact way.
+BAND, BANDS, LEAST = 16, 20, 0.75
 
 
 #: Characters are dealt into so many kinds, by which the coins are thrown. A task walks so many characters at a time,
@@ -290,11 +292,9 @@ def _banded(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (node, fingerprint, class_id) of equal fingerprints, and the bands (key, node) that several share."""
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
     classes = saved(classes.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "class_id"), "classes")
-    keyed = saved(classes.select("node", F.explode(_bands("fingerprint")).alias("key")), "bands")
+    keyed = classes.select("node", F.explode(_bands("fingerprint")).alias("key"))  # made twice rather than kept: most go
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    index = saved(keyed.join(several, "key"), "index")
-    release(keyed)
-    return classes, index
+    return classes, saved(keyed.join(several, "key"), "index")
 
 
 def near_components(prints: DataFrame, *, least: float = LEAST) -> DataFrame:

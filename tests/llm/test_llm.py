@@ -160,12 +160,12 @@ def near_copies(rng):
 def test_near_pairs_and_components(spark):
     texts, copies = near_copies(random.Random(5))
     prints = edits.fingerprints_of(texts)
-    near = {(i, j) for j in range(len(texts)) for i in range(j) if edits.likeness(prints[i], prints[j]) >= edits.LEAST}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if edits.likeness(prints[i], prints[j]) >= 0.9}
     assert len(near & set(copies)) > 80 and near <= set(copies)
     near = {(i, j) for i, j in near if prints[i] != prints[j]}  # equal fingerprints are one class
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (500, None), (501, "")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, key int")
-    members, pairs = edits.near_pairs(df)
+    members, pairs = edits.near_pairs(df, least=0.9)
     got = [(r.other_id, r.class_id) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) <= {(b, a) for a, b in near} | near
     assert len(got) >= 0.95 * len(near)
@@ -175,7 +175,7 @@ def test_near_pairs_and_components(spark):
     classes = collections.Counter(map(tuple, members.collect()))
     assert classes[3, 3] == 2 and classes[None, 4] == 1 and classes[500, 500] == classes[501, 500] == 1 and len(classes) == len(texts) + 3
     assert all(classes[i, prints.index(p)] for i, p in enumerate(prints))
-    found = edits.with_near(edits.edited_fingerprints(df)).collect()
+    found = edits.with_near(edits.edited_fingerprints(df), least=0.9).collect()
     assert len(found) == len(rows)
     linked = {max(p): min(p) for p in got}
     assert all(r.near_id == linked.get(r.class_id, r.class_id) for r in found)
