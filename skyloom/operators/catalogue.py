@@ -19,11 +19,10 @@ def complete_slots(df: DataFrame, by: list[str], slot: str, part: str, parts: in
     return sets.groupBy(*by).agg(newest).select(*by, f"m.{slot}", "m.parts")
 
 
-def pair(data: DataFrame, geo: DataFrame, key: str, value: str, limit: int | None = None) -> DataFrame:
-    """(key, data, geo): the smallest name of each side for every key that has both, newest keys first."""
-    a = data.groupBy(key).agg(F.min(value).alias("data"))
-    b = geo.groupBy(key).agg(F.min(value).alias("geo"))
-    out = a.join(b, key)
+def pair(files: DataFrame, is_data: Column, key: str, value: str, limit: int | None = None) -> DataFrame:
+    """(key, data, geo): the smallest name of each kind for every key that has both, newest keys first; one aggregation."""
+    out = files.groupBy(key).agg(F.min(F.when(is_data, F.col(value))).alias("data"), F.min(F.when(~is_data, F.col(value))).alias("geo"))
+    out = out.where("data is not null and geo is not null")
     return out.orderBy(F.col(key).desc()).limit(limit) if limit else out
 
 

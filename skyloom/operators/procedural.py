@@ -48,3 +48,8 @@ def basis(x: Column, y: Column, z: Column) -> tuple[tuple[Column, ...], tuple[Co
     n = F.greatest(F.sqrt(tx * tx + ty * ty + tz * tz), F.lit(1e-12))
     tx, ty, tz = tx / n, ty / n, tz / n
     return (tx, ty, tz), (y * tz - z * ty, z * tx - x * tz, x * ty - y * tx)
+
+
+def dither(value: Column, *place: Column, seed: int = 3) -> Column:
+    """Triangular noise of a 255th by place (tile, y and x), the same on every run."""
+    return value + (hashed(seed, *place) - hashed(seed + 1, *place)) / 255

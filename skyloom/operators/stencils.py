@@ -1,11 +1,14 @@
 """Neighbourhood operators on dense rasters (keys, y, x, v) as separable windows.
 
-All of them read one exchange by tile: windows over (tile, y) and (tile, x) are both satisfied by it.
+All of them read one exchange by tile: windows over (tile, y) and (tile, x) are both satisfied by it. Where a pixel needs
+more of its line than a window's sums give, the line is made one row, worked on as an array, and taken apart again, so
+each pixel is held once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,24 +48,34 @@ def kernel(sigma: float) -> list[float]:
     return [v / sum(w) for v in w]
 
 
+def along_lines(df: DataFrame, keys: list[str], line: str, place: str, out: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with a column made of whole lines: value(pixels, i) gets a line's pixels in order as an array of rows, and the
+    index of one of them. df must be dealt by keys, so no exchange is needed."""
+    others = [c for c in df.columns if c not in (*keys, line, place)]
+    lines = df.groupBy(*keys, line).agg(F.array_sort(F.collect_list(F.struct(place, *others))).alias("_line"))
+    made = F.transform(F.sequence(F.lit(0), F.size("_line") - 1), lambda i: F.struct(F.get("_line", i).alias("px"), value(F.col("_line"), i).alias("out")))
+    return lines.select(*keys, line, F.explode(made).alias("_p")).select(*[F.col(f"_p.px.{c}").alias(c) if c not in (*keys, line) else c for c in df.columns], F.col("_p.out").alias(out))
+
+
 def gaussian(df: DataFrame, keys: list[str], sigma_y: float, sigma_x: float, value: str = "v", out: str = "blur") -> DataFrame:
     """Separable blur; beyond the border the edge-including mirror image (d c b a | a b c d | d c b a) is taken, folded
-    as often as the kernel needs. The line is gathered once per axis, so the cost is kernel length per pixel."""
+    as often as the kernel needs."""
 
-    def pass_(d: DataFrame, sigma: float, line: str, place: str, src: str, dst: str) -> DataFrame:
+    def blurred(d: DataFrame, sigma: float, line: str, place: str, src: str, dst: str) -> DataFrame:
         w = kernel(sigma)
         r = len(w) // 2
-        whole = Window.partitionBy(*keys, line)
-        values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(src).alias("s"))).over(whole)), lambda s: s["s"])
-        rank = F.row_number().over(whole.orderBy(place)) - 1
-        d = d.withColumn("_line", values).withColumn("_at", rank).withColumn("_n", F.size("_line"))
-        at = lambda i: F.pmod(F.col("_at") + i, 2 * F.col("_n"))
-        fold = lambda i: F.least(at(i), 2 * F.col("_n") - 1 - at(i))
-        taps = F.zip_with(F.sequence(F.lit(-r), F.lit(r)), F.lit(w), lambda i, k: k * F.get("_line", fold(i).cast("int")))
-        return d.withColumn(dst, F.aggregate(taps, F.lit(0.0), lambda a, t: a + t)).drop("_line", "_at", "_n")
 
-    d = pass_(df, sigma_y, "x", "y", value, "_half") if sigma_y else df.withColumn("_half", F.col(value))
-    return (pass_(d, sigma_x, "y", "x", "_half", out) if sigma_x else d.withColumn(out, F.col("_half"))).drop("_half")
+        def pixel(line_: Column, i: Column) -> Column:
+            n = F.size(line_)
+            at = lambda t: F.pmod(i + t, 2 * n)
+            taps = F.zip_with(F.sequence(F.lit(-r), F.lit(r)), F.lit(w), lambda t, k: k * F.get(line_, F.least(at(t), 2 * n - 1 - at(t)).cast("int"))[src])
+            return F.aggregate(taps, F.lit(0.0), lambda a, t: a + t)
+
+        return along_lines(d, keys, line, place, dst, pixel)
+
+    d = df.repartition(*keys)
+    d = blurred(d, sigma_y, "x", "y", value, "_half") if sigma_y else d.withColumn("_half", F.col(value))
+    return (blurred(d, sigma_x, "y", "x", "_half", out) if sigma_x else d.withColumn(out, F.col("_half"))).drop("_half")
 
 
 def closing(df: DataFrame, keys: list[str], k: int, value: str = "v", out: str = "closed") -> DataFrame:
@@ -92,9 +105,28 @@ def ellipse5() -> list[tuple[int, int]]:
 
 
 def erode(df: DataFrame, keys: list[str], times: int, valid: Column) -> DataFrame:
-    """eroded: whether all pixels within `times` steps are there and valid (erosions by a cross)."""
-    shape = diamond(times)
-    return offsets_join(df, keys, shape, valid).withColumn("eroded", F.col("hits") == len(shape)).drop("hits")
+    """eroded: whether all pixels within `times` steps are there and valid (erosions by a cross).
+
+    These are the pixels whose city-block distance to what is not valid or not there is more than `times`: the nearest such
+    place in the row, then the least of those distances plus rows apart, both as running windows.
+    """
+    along, down = axes(keys)
+    d = df.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    for step, w in ((-1, along), (1, along)):
+        beside = F.lag("x").over(w) if step < 0 else F.lead("x").over(w)
+        frame = w.rowsBetween(Window.unboundedPreceding, 0) if step < 0 else w.rowsBetween(0, Window.unboundedFollowing)
+        bad = F.when(~F.col("_ok"), F.col("x")).when(beside.isNull() | (beside != F.col("x") + step), F.col("x") + step)
+        near = F.last("_bad", ignorenulls=True) if step < 0 else F.first("_bad", ignorenulls=True)
+        d = d.withColumn("_bad", bad).withColumn("_left" if step < 0 else "_right", near.over(frame))
+    d = d.withColumn("_row", F.least(F.col("x") - F.col("_left"), F.col("_right") - F.col("x")))
+    far = []
+    for step in (-1, 1):
+        beside = F.lag("y").over(down) if step < 0 else F.lead("y").over(down)
+        frame = down.rowsBetween(Window.unboundedPreceding, 0) if step < 0 else down.rowsBetween(0, Window.unboundedFollowing)
+        gap = F.when(beside.isNull() | (beside != F.col("y") + step), step * F.col("y") + 1)
+        d = d.withColumn(f"_b{step + 1}", F.least(F.col("_row") + step * F.col("y"), gap))
+        far.append(F.min(f"_b{step + 1}").over(frame) - step * F.col("y"))
+    return d.withColumn("eroded", F.least(*far) > times).drop("_ok", "_bad", "_left", "_right", "_row", "_b0", "_b2")
 
 
 def dilate(df: DataFrame, keys: list[str], shape: list[tuple[int, int]], mask: Column) -> DataFrame:
@@ -104,16 +136,23 @@ def dilate(df: DataFrame, keys: list[str], shape: list[tuple[int, int]], mask: C
 def distance(df: DataFrame, keys: list[str], inside: Column, reach: int) -> DataFrame:
     """Exact Euclidean distance from each inside pixel to the nearest outside one within reach, else null.
 
-    Two passes: the nearest outside pixel in the row, then the least of row distances squared plus rows apart squared.
+    Two passes: the nearest outside pixel in the row, then the least of row distances squared plus rows apart squared over
+    `reach` pixels either way of the column.
     """
     along, _ = axes(keys)
-    d = df.withColumn("_out", F.when(~inside, F.col("x")))
+    d = df.repartition(*keys).withColumn("_in", inside).withColumn("_out", F.when(~F.col("_in"), F.col("x")))
     left = F.last("_out", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first("_out", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
     d = d.withColumn("_row", F.least(F.col("x") - left, right - F.col("x"))).drop("_out")
-    column = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-reach, reach)
-    near = F.array_min(F.transform(F.collect_list(F.struct(F.col("y").alias("j"), F.col("_row").alias("r"))).over(column), lambda s: s["r"] * s["r"] + (s["j"] - F.col("y")) * (s["j"] - F.col("y"))))
-    return d.withColumn("_d2", near).withColumn("distance", F.when(~inside, F.lit(0.0)).when(F.col("_d2") <= reach * reach, F.sqrt("_d2"))).drop("_row", "_d2")
+
+    def nearest(line: Column, i: Column) -> Column:
+        y = F.get(line, i)["y"]
+        first = F.greatest(i - reach, F.lit(0))
+        around = F.slice(line, first + 1, i - first + reach + 1)
+        return F.array_min(F.transform(around, lambda s: s["_row"] * s["_row"] + (s["y"] - y) * (s["y"] - y)))
+
+    d = along_lines(d, keys, "x", "y", "_d2", nearest)
+    return d.withColumn("distance", F.when(~F.col("_in"), F.lit(0.0)).when(F.col("_d2") <= reach * reach, F.sqrt("_d2"))).drop("_row", "_d2", "_in")
 
 
 def feather(d: str | Column, fade: float, power: float) -> Column:

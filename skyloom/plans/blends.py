@@ -17,10 +17,10 @@ def smart_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.smart_blend(layers(spark, sf_dir), ["y", "x"], 100).select("y", "x", F.round("v", 8).alias("v"))
 
 
-@query("smart_blend_low", f"SELECT y, x, round({_FOLD.format(t=241.377)}, 8) AS v FROM layers WHERE seq <= 4 GROUP BY 1, 2", "layers")
+@query("smart_blend_low", f"SELECT y, x, round({_FOLD.format(t=241.377)}, 8) AS v FROM layers GROUP BY 1, 2", "layers")
 def smart_blend_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A threshold within the data, so weak backgrounds are overwritten."""
-    return op.smart_blend(layers(spark, sf_dir).where("seq <= 4"), ["y", "x"], 241.377).select("y", "x", F.round("v", 8).alias("v"))
+    return op.smart_blend(layers(spark, sf_dir), ["y", "x"], 241.377).select("y", "x", F.round("v", 8).alias("v"))
 
 
 @query("overwrite_blend", "SELECT y, x, arg_max(v, seq) AS v FROM layers GROUP BY 1, 2", "layers")

@@ -76,35 +76,19 @@ def granule_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred newest (data, geolocation) pairs by time key."""
     g = _named(spark, sf_dir).withColumn("file", F.concat("name", F.lit("#"), F.col("id") % 3))
-    return op.pair(g.where("head in ('CLICK', 'VIEW')"), g.where("head not in ('CLICK', 'VIEW')"), "key", "file", 100)
+    return op.pair(g, F.col("head").isin("CLICK", "VIEW"), "key", "file", 100)
 
 
-@query("unseen_granules", f"SELECT id, {_KEY} AS key FROM granules WHERE id % 7 = 0 AND {_KEY} NOT IN (SELECT {_KEY} FROM granules WHERE id % 5 = 1)", "granules")
+@query("unseen_granules", f"SELECT id, {_KEY} AS key FROM granules WHERE id % 5 <> 1 AND {_KEY} NOT IN (SELECT {_KEY} FROM granules WHERE id % 5 = 1)", "granules")
 def unseen_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose time key was not seen before."""
-    g = _named(spark, sf_dir)
-    return g.where("id % 7 = 0").select("id", "key").join(g.where("id % 5 = 1").select("key"), "key", "left_anti").select("id", "key")
-
-
-@query("strip_pairs", f"""SELECT id, key, geo FROM (SELECT a.id, a.key, b.id AS geo, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM (SELECT id, {_KEY} AS key FROM granules WHERE id % 11 = 0) a
-  JOIN (SELECT id, {_KEY} AS key FROM granules WHERE id % 11 = 1) b USING (key)) WHERE k = 1""", "granules")
-def strip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each strip with the first geolocation file of its key."""
-    g = _named(spark, sf_dir)
-    geo = g.where("id % 11 = 1").groupBy("key").agg(F.min("id").alias("geo"))
-    return g.where("id % 11 = 0").select("id", "key").join(geo, "key").select("id", "key", "geo")
-
-
-@query("unseen_granules_all", f"SELECT id, {_KEY} AS key FROM granules WHERE id % 5 <> 1 AND {_KEY} NOT IN (SELECT {_KEY} FROM granules WHERE id % 5 = 1)", "granules")
-def unseen_granules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file in five was seen before; all others are asked for."""
     g = _named(spark, sf_dir)
     return g.where("id % 5 <> 1").select("id", "key").join(g.where("id % 5 = 1").select("key"), "key", "left_anti").select("id", "key")
 
 
-@query("strip_pairs_all", f"""SELECT id, key, geo FROM (SELECT a.id, a.key, b.id AS geo, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM (SELECT id, {_KEY} AS key FROM granules WHERE id % 2 = 0) a
+@query("strip_pairs", f"""SELECT id, key, geo FROM (SELECT a.id, a.key, b.id AS geo, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM (SELECT id, {_KEY} AS key FROM granules WHERE id % 2 = 0) a
   JOIN (SELECT id, {_KEY} AS key FROM granules WHERE id % 2 = 1) b USING (key)) WHERE k = 1""", "granules")
-def strip_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even files are strips, odd ones geolocation, as in catalog_join."""
     g = _named(spark, sf_dir)
     geo = g.where("id % 2 = 1").groupBy("key").agg(F.min("id").alias("geo"))
@@ -136,13 +120,8 @@ def reader_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return granules(spark, sf_dir).join(dim, "product", "left").groupBy("product", F.coalesce("channel", F.lit("unknown")).alias("channel")).agg(F.count("*").alias("n"))
 
 
-@query("file_hash", "SELECT product, md5(string_agg(name || '_' || floor(epoch(last_modified))::BIGINT, '' ORDER BY name || '_' || floor(epoch(last_modified))::BIGINT)) AS digest, count(*) AS files FROM granules WHERE id % 20 = 0 GROUP BY 1", "granules")
+@query("file_hash", "SELECT product, md5(string_agg(name || '_' || floor(epoch(last_modified))::BIGINT, '' ORDER BY name || '_' || floor(epoch(last_modified))::BIGINT)) AS digest, count(*) AS files FROM granules GROUP BY 1", "granules")
 def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.digest(granules(spark, sf_dir).where("id % 20 = 0"), ["product"], F.col("name"), F.unix_timestamp("last_modified").cast("string"))
-
-
-@query("file_hash_all", "SELECT product, md5(string_agg(name || '_' || floor(epoch(last_modified))::BIGINT, '' ORDER BY name || '_' || floor(epoch(last_modified))::BIGINT)) AS digest, count(*) AS files FROM granules GROUP BY 1", "granules")
-def file_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(granules(spark, sf_dir), ["product"], F.col("name"), F.unix_timestamp("last_modified").cast("string"))
 
 
@@ -178,13 +157,7 @@ def first_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return granules(spark, sf_dir).groupBy("product").agg(F.min("name").alias("name")).orderBy("product").limit(1)
 
 
-@query("faces_complete", "SELECT tile_r, count(DISTINCT (y * 2 + x + frame) % 6) = 6 AS complete FROM frames_px WHERE tile_c < 3 AND frame < 66 GROUP BY 1", "frames_px")
+@query("faces_complete", "SELECT tile_r, count(DISTINCT (y * 2 + x + frame) % 6) = 6 AS complete FROM frames_px GROUP BY 1", "frames_px")
 def faces_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    face = (F.col("y") * 2 + F.col("x") + F.col("frame")) % 6
-    return frames_px(spark, sf_dir).where("tile_c < 3 and frame < 66").groupBy("tile_r").agg((F.countDistinct(face) == 6).alias("complete"))
-
-
-@query("faces_complete_all", "SELECT tile_r, count(DISTINCT (y * 2 + x + frame) % 6) = 6 AS complete FROM frames_px GROUP BY 1", "frames_px")
-def faces_complete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     face = (F.col("y") * 2 + F.col("x") + F.col("frame")) % 6
     return frames_px(spark, sf_dir).groupBy("tile_r").agg((F.countDistinct(face) == 6).alias("complete"))

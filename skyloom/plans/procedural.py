@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import procedural as op
 from ..registry import query
 
-N, S = 4, 8
-#: Cells and samples an axis in the reference, too many for the oracle's distances to every point.
-CELLS, SAMPLES = 8, 64
+#: Cells and samples an axis.
+N, S = 8, 64
 
 
 def _hash(seed: int, *ids: str) -> str:
@@ -44,17 +43,6 @@ def worley_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("i", F.round(1 - F.least(F.greatest(F.col("f1") * N, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
 
 
-@query("worley_64")
-def worley_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.worley(_samples(spark, SAMPLES), op.cell_points(spark, CELLS), CELLS).select("i", F.round("f1", 6).alias("f1"))
-
-
-@query("worley_volume_64")
-def worley_volume_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = op.worley(_samples(spark, SAMPLES), op.cell_points(spark, CELLS), CELLS)
-    return f.select("i", F.round(1 - F.least(F.greatest(F.col("f1") * CELLS, F.lit(0.0)), F.lit(1.0)), 6).alias("v"))
-
-
 _FIB = f"""f AS (SELECT i, k * sqrt(greatest(1 - y * y, 0)) * cos(i * (pi() * (3 - sqrt(5.0)))) AS x, k * y AS y, k * sqrt(greatest(1 - y * y, 0)) * sin(i * (pi() * (3 - sqrt(5.0)))) AS z
   FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 500 AS y, 1 + 0.05 * (2 * ({_hash(7, "i")}) - 1) AS k FROM range(500) r(i)))"""
 

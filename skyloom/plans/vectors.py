@@ -64,16 +64,8 @@ def admin_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.select("zone", "lvl", F.concat(F.lit("ADM"), F.col("lvl"), F.lit("/"), F.col("name")).alias("layer"))
 
 
-@query("labels_union", """SELECT 'country' AS kind, name AS n, 0 AS lvl FROM zones UNION ALL SELECT 'region', r_name, 1 FROM region UNION ALL SELECT 'city', coalesce(c_name, 'Unknown'), 2 FROM customer WHERE c_custkey % 50 = 0""", "zones")
+@query("labels_union", """SELECT 'country' AS kind, name AS n, 0 AS lvl FROM zones UNION ALL SELECT 'region', r_name, 1 FROM region UNION ALL SELECT 'city', coalesce(c_name, 'Unknown'), 2 FROM customer""", "zones")
 def labels_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = zones(spark, sf_dir).select(F.lit("country").alias("kind"), F.col("name").alias("n"), F.lit(0).alias("lvl"))
-    r = read(spark, sf_dir, "region").select(F.lit("region").alias("kind"), F.col("r_name").alias("n"), F.lit(1).alias("lvl"))
-    c = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.lit("city").alias("kind"), F.coalesce("c_name", F.lit("Unknown")).alias("n"), F.lit(2).alias("lvl"))
-    return z.unionByName(r).unionByName(c)
-
-
-@query("labels_union_all", """SELECT 'country' AS kind, name AS n, 0 AS lvl FROM zones UNION ALL SELECT 'region', r_name, 1 FROM region UNION ALL SELECT 'city', coalesce(c_name, 'Unknown'), 2 FROM customer""", "zones")
-def labels_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = zones(spark, sf_dir).select(F.lit("country").alias("kind"), F.col("name").alias("n"), F.lit(0).alias("lvl"))
     r = read(spark, sf_dir, "region").select(F.lit("region").alias("kind"), F.col("r_name").alias("n"), F.lit(1).alias("lvl"))
     c = read(spark, sf_dir, "customer").select(F.lit("city").alias("kind"), F.coalesce("c_name", F.lit("Unknown")).alias("n"), F.lit(2).alias("lvl"))
@@ -108,16 +100,9 @@ def osm_join_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("way", "n").agg(F.count("x").alias("found"), F.round(F.sum(F.col("x") * (F.col("pos") + 1)), 3).alias("sum_x"), F.round(F.sum(F.col("y") * (F.col("pos") + 1)), 3).alias("sum_y"))
 
 
-@query("outline_vertices", """WITH s AS (SELECT way, len(nodes) AS n, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways WHERE len(nodes) >= 3 AND way % 10 = 1)
+@query("outline_vertices", """WITH s AS (SELECT way, len(nodes) AS n, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways WHERE len(nodes) >= 3)
   SELECT way, n, count(lon) AS found, list(round(6371000 * radians(lon - 2.3) * cos(radians(48.8)), 3) ORDER BY pos) FILTER (lon IS NOT NULL) AS xs FROM s LEFT JOIN nodes USING (node) GROUP BY 1, 2 HAVING count(lon) > 0""", "ways", "nodes")
 def outline_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = op.ordered_nodes(ways(spark, sf_dir).where("way % 10 = 1"), nodes(spark, sf_dir), 2.3, 48.8)
-    return d.where("found > 0").select("way", "n", "found", F.transform("verts", lambda p: p["x"]).alias("xs"))
-
-
-@query("outline_vertices_all", """WITH s AS (SELECT way, len(nodes) AS n, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways WHERE len(nodes) >= 3)
-  SELECT way, n, count(lon) AS found, list(round(6371000 * radians(lon - 2.3) * cos(radians(48.8)), 3) ORDER BY pos) FILTER (lon IS NOT NULL) AS xs FROM s LEFT JOIN nodes USING (node) GROUP BY 1, 2 HAVING count(lon) > 0""", "ways", "nodes")
-def outline_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = op.ordered_nodes(ways(spark, sf_dir), nodes(spark, sf_dir), 2.3, 48.8)
     return d.where("found > 0").select("way", "n", "found", F.transform("verts", lambda p: p["x"]).alias("xs"))
 
@@ -168,19 +153,9 @@ def payload_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0)
 
 
-@query("expand_vertices", """SELECT way AS mesh, flatten(list([x, y, z, u, v] ORDER BY pos)) AS data FROM (SELECT way, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways WHERE way % 50 = 0)
+@query("expand_vertices", """SELECT way AS mesh, flatten(list([x, y, z, u, v] ORDER BY pos)) AS data FROM (SELECT way, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways)
   JOIN (SELECT p_partkey AS node, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z, 0.5::DOUBLE AS u, 0.25::DOUBLE AS v FROM part) USING (node) GROUP BY 1""", "ways")
 def expand_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meshes without indices: interleaved vertices in index order."""
-    w = ways(spark, sf_dir).where("way % 50 = 0")
-    v = read(spark, sf_dir, "part").selectExpr("p_partkey vertex", "cast(p_size as double) x", "cast(p_partkey % 7 as double) y", "cast(p_partkey % 11 as double) z", "0.5D u", "0.25D v")
-    used = w.select(F.col("way").alias("mesh"), F.explode("nodes").alias("vertex")).distinct()
-    return op.expand_vertices(w.select(F.col("way").alias("mesh"), F.col("nodes").alias("indices")), used.join(v, "vertex"))
-
-
-@query("expand_vertices_all", """SELECT way AS mesh, flatten(list([x, y, z, u, v] ORDER BY pos)) AS data FROM (SELECT way, unnest(range(len(nodes))) AS pos, unnest(nodes) AS node FROM ways)
-  JOIN (SELECT p_partkey AS node, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z, 0.5::DOUBLE AS u, 0.25::DOUBLE AS v FROM part) USING (node) GROUP BY 1""", "ways")
-def expand_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ways(spark, sf_dir)
     v = read(spark, sf_dir, "part").selectExpr("p_partkey vertex", "cast(p_size as double) x", "cast(p_partkey % 7 as double) y", "cast(p_partkey % 11 as double) z", "0.5D u", "0.25D v")
     used = w.select(F.col("way").alias("mesh"), F.explode("nodes").alias("vertex")).distinct()

@@ -60,9 +60,10 @@ def fresh_stream(files: DataFrame, key: str = "name", time: str = "last_modified
 
 
 def complete_stream(parts: DataFrame, number: int, time: str = "ts", slot: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Slots in which at least `number` parts came, once the watermark has passed them."""
-    w = parts.withWatermark(time, lateness).groupBy(F.window(time, slot).alias("w")).agg(F.approx_count_distinct("part").alias("parts"), F.count("*").alias("n"))
-    return w.where(F.col("n") >= number).select(F.col("w.start").alias("slot"), "n", "parts")
+    """(slot, n, parts): slots in which `number` different parts came, once the watermark has passed them; n counts files,
+    a part that comes again included. A slot's state is as large as its parts are many."""
+    w = parts.withWatermark(time, lateness).groupBy(F.window(time, slot).alias("w")).agg(F.count("*").alias("n"), F.size(F.collect_set("part")).cast("long").alias("parts"))
+    return w.where(F.col("parts") >= number).select(F.col("w.start").alias("slot"), "n", "parts")
 
 
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.operators import blends, camera, catalogue, composite, kernels, stencils, vectors
+from skyloom.operators import blends, camera, catalogue, composite, kernels, procedural, stencils, vectors
 from skyloom.streaming import dwell
 
 
@@ -64,6 +64,26 @@ def test_closing_erosion_distance(spark, noise):
     assert np.allclose(np.where(exact <= 4, exact, np.nan), near, equal_nan=True)
 
 
+def test_erosion_of_sparse_rasters(spark):
+    rng = np.random.default_rng(8)
+    there, good = rng.random((2, 15, 13)) > 0.06
+    px = [(0, y, x, float(good[y, x])) for y in range(15) for x in range(13) if there[y, x]]
+    for times in (1, 3):
+        got = {(r.y, r.x): r.eroded for r in stencils.erode(spark.createDataFrame(px, "tile long, y int, x int, v double"), ["tile"], times, F.col("v") > 0).collect()}
+        want = there & good
+        for _ in range(times):
+            q = np.pad(want, 1)
+            want = q[1:-1, 1:-1] & q[:-2, 1:-1] & q[2:, 1:-1] & q[1:-1, :-2] & q[1:-1, 2:]
+        assert got == {(y, x): bool(want[y, x]) for _, y, x, _ in px}
+
+
+def test_dither_differs_by_tile(spark):
+    df = spark.range(2000).selectExpr("id % 2 tile", "cast(id div 2 as int) y", "0 x", "0.5D v")
+    got = df.withColumn("d", procedural.dither(F.col("v"), F.col("tile"), F.col("y"), F.col("x"))).collect()
+    off = {t: [r.d - 0.5 for r in sorted(got, key=lambda r: r.y) if r.tile == t] for t in (0, 1)}
+    assert max(map(abs, off[0] + off[1])) <= 1 / 255 and abs(np.corrcoef(off[0], off[1])[0, 1]) < 0.1
+
+
 def test_gap_fill_keeps_valid_pixels_and_wraps(spark):
     row = [None, 1.0, None, None, 4.0, None]
     rows = [(0, x, v) for x, v in enumerate(row)] + [(1, x, None) for x in range(6)] + [(2, x, 5.0 if x == 2 else None) for x in range(6)]
@@ -121,9 +141,8 @@ def test_catalogue(spark):
     rows = [("a", s, p) for s, n in ((1, 10), (2, 9), (3, 11)) for p in range(n)]
     got = catalogue.complete_slots(spark.createDataFrame(rows, "k string, slot int, part int"), ["k"], "slot", "part", 10).collect()
     assert [(r.slot, len(r.parts)) for r in got] == [(1, 10)]
-    names = spark.createDataFrame([("k1", "b"), ("k1", "a"), ("k2", "c")], "key string, v string")
-    geo = spark.createDataFrame([("k1", "g")], "key string, v string")
-    assert [tuple(r) for r in catalogue.pair(names, geo, "key", "v", 5).collect()] == [("k1", "a", "g")]
+    names = spark.createDataFrame([("k1", "b", "d"), ("k1", "a", "d"), ("k2", "c", "d"), ("k1", "g", "g"), ("k3", "h", "g")], "key string, v string, kind string")
+    assert [tuple(r) for r in catalogue.pair(names, F.col("kind") == "d", "key", "v", 5).collect()] == [("k1", "a", "g")]
 
 
 def test_point_in_polygon_and_clip(spark):
@@ -171,6 +190,15 @@ def test_fresh_stream(spark, tmp_path):
     assert sorted(r.name for r in out.collect()) == ["a", "b"]
 
 
+def test_complete_stream_counts_parts(spark, tmp_path):
+    parts = [("00:01", p) for p in range(10)] + [("00:11", 3)] * 12 + [("00:21", p) for p in range(10)] + [("00:21", 4), ("02:00", 1)]
+    df = spark.createDataFrame(parts, "t string, part int").selectExpr("cast('2024-01-01 ' || t || ':00' as timestamp) ts", "part")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = dwell.complete_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 10)
+    got = dwell.drained(stream, "complete_test", f"{tmp_path}/state").selectExpr("date_format(slot, 'HH:mm') s", "n", "parts").collect()
+    assert sorted(map(tuple, got)) == [("00:00", 10, 10), ("00:20", 11, 10)]
+
+
 def test_kernels():
     rng = np.random.default_rng(3)
     mask = rng.random((14, 11)) > 0.45
@@ -178,6 +206,9 @@ def test_kernels():
     want = np.array([[np.sqrt(((y - i) ** 2 + (x - j) ** 2).min()) for j in range(11)] for i in range(14)])
     assert np.allclose(kernels.distance_transform(mask), np.where(mask, want, 0))
     assert np.isinf(kernels.distance_transform(np.ones((3, 3), bool))).all()
+    wide = np.ones((512, 512), bool)
+    wide[100, 30] = False
+    assert kernels.distance_transform(wide)[511, 511] == pytest.approx(np.hypot(411, 481))
     labels = kernels.connected(mask)
     for i in range(14):
         for j in range(11):
@@ -194,7 +225,6 @@ def test_kernels():
     edges = kernels.canny(step)
     assert set(np.unique(np.nonzero(edges)[1])) <= {9, 10} and edges.any(axis=1).all()
     assert kernels.high_frequency_share(rng.random((32, 32))) > kernels.high_frequency_share(np.outer(np.hanning(32), np.hanning(32)))
-    assert (kernels.dither(a) == kernels.dither(a)).all() and np.abs(kernels.dither(a) - a).max() <= 1 / 255
 
 
 def test_binary_formats():

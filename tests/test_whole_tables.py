@@ -1,4 +1,4 @@
-"""Queries of whole tables and of the reference's sizes that have no oracle, against brute force."""
+"""Queries of whole tables and of full sizes against brute force."""
 
 import collections
 import os
@@ -15,8 +15,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_worley_volume(spark):
     points = np.array([(r.px, r.py, r.pz) for r in procedural.cell_points(spark, 8).collect()])
-    f1 = {r.i: r.f1 for r in registry.queries()["worley_64"](spark, SF).collect()}
-    v = {r.i: r.v for r in registry.queries()["worley_volume_64"](spark, SF).collect()}
+    f1 = {r.i: r.f1 for r in registry.queries()["worley"](spark, SF).collect()}
+    v = {r.i: r.v for r in registry.queries()["worley_volume"](spark, SF).collect()}
     assert sorted(f1) == sorted(v) == list(range(64**3))
     for i in [*range(0, 64**3, 997), 64**3 - 1]:
         d = np.abs((np.array([i % 64, i // 64 % 64, i // 4096]) + 0.5) / 64 - points)
@@ -41,5 +41,5 @@ def test_components_of_every_tile(spark, tmp_path):
             left -= group
             first = min(group)
             want |= {(tile, *p): first[0] * 8 + first[1] + 1 for p in group}
-    got = {(r.tile, r.y, r.x): r.label for r in registry.queries()["components_all"](spark, str(tmp_path)).collect()}
+    got = {(r.tile, r.y, r.x): r.label for r in registry.queries()["components"](spark, str(tmp_path)).collect()}
     assert len(lit) == 250 and got == want
