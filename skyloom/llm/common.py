@@ -48,7 +48,7 @@ def saved(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
