@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from .common import release, saved
 
 MIN_WORDS = 8
-WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _some(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def _words(line: Column) -> Column:
@@ -54,7 +58,7 @@ def _chain(forward: bool) -> Column:
 def _shared(keyed: DataFrame) -> DataFrame:
     """The rows of keyed whose key has several lines h."""
     several = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    return keyed.join(several, "key")
+    return keyed.join(several.hint("shuffle_hash"), "key")  # few of all keys
 
 
 def dropped(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +114,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_column: str =
     rows = docs.select(F.struct(id_column, *[f"`{c}`" for c in columns if c not in (id_column, text_column)]).alias("row"), F.col(text_column).alias("text"))
     joined = rows.join(kept, F.col(f"row.`{id_column}`").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left")
     joined = joined.withColumn("every", F.split("text", "\n")).withColumn("some", F.coalesce("kept_at", F.array().cast("array<int>")))
-    blank = F.filter(F.transform("every", lambda x, i: F.when(F.regexp_like(x, F.lit(WORD)), -1).otherwise(i)), lambda i: i >= 0)
+    blank = F.filter(F.transform("every", lambda x, i: F.when(_some(x), -1).otherwise(i)), lambda i: i >= 0)
     joined = joined.withColumn("blank", blank).withColumn("count", F.size("every") - F.size("blank"))
     joined = joined.withColumn("places", F.array_union("some", "blank"))
     places = F.array_sort("places")
