@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_column: str =
     """docs with lines removed from the text column, and two counts of lines that are not blank, before and after."""
     plain = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
     lines = plain.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "text_hash", "pos", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    # a filter on the words themselves would be pushed below and split every line twice
+    lines = lines.where(_some(F.col("line"))).select("doc_id", "text_hash", "pos", _words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     distinct, near = dropped(lines, plain, min_words)
     kept = distinct.join(near, "h", "left_anti").groupBy(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).agg(F.collect_set("first.pos").alias("kept_at"))
     columns = [c for c in docs.columns if c.lower() not in counts]
