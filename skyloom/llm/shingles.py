@@ -197,12 +197,12 @@ def _indexed(docs: DataFrame, size: int, per_cent: int) -> tuple[DataFrame, Data
             yield _flat(part.column(0), [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in part.column(1)])
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    read = saved(hashed.mapInArrow(look, f"doc_id {kind}, hash long, n long, node long, s2 long, more long, keys binary"), "read", rows=1000)
+    read = hashed.mapInArrow(look, f"doc_id {kind}, hash long, n long, node long, s2 long, more long, keys binary")
     own_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     reps = read.where("n > 0").groupBy("n", "node", "s2").agg(F.min(own_first).alias("rep"), F.count("*").alias("rows"), F.first("more").alias("more"), F.first("keys").alias("keys"))
-    reps = saved(reps, "reps")
-    rows, old = saved(read.select("doc_id", "n", "node", "s2"), "rows"), read
-    release(old)
+    reps = saved(reps, "reps", rows=1000)
+    # read again, as a table with the keys would be half as large as the input
+    rows = saved(read.select("doc_id", "n", "node", "s2"), "rows", rows=1000)
     met = _shared(reps.select("node", "keys").mapInArrow(spread, "node long, key long")).groupBy("node").agg(F.count("*").alias("met"))
     active = reps.join(met, "node", "left").where(F.coalesce("met", F.lit(0)) >= F.col("more")).select("node", "n", "rep.doc_id", "rep.hash")
     active = saved(active, "active")
