@@ -31,6 +31,8 @@ PER_LANGUAGE, ROWS, PASSAGES, PASSAGE, CALIBRATE = 1000, 100_000, 2, 300, 10
 EPOCHS, RATE, REJECT = 4, 0.5, 0.01
 #: Steps of 16 passages that training takes at least, and more for each language.
 LEAST_STEPS, STEPS_EACH = 1500, 30
+#: Languages up to which their sampling rates are broadcast.
+BROADCAST = 100_000
 
 
 @dataclass
@@ -150,6 +152,7 @@ def train(docs: DataFrame, may_learn: Column, *, id_column: str = "doc_id", text
         return fit([], [])
     spark, most = docs.sparkSession, max(1, min(PER_LANGUAGE, ROWS // len(counts)))
     rates = spark.createDataFrame([(r[0], min(1.0, (3 * most + 20) / r[1])) for r in counts], "learned string, rate double")
+    rates = F.broadcast(rates) if len(counts) <= BROADCAST else rates  # a row for each language, so the texts stay where they are
     size, hashed = F.octet_length(text_column), F.xxhash64(F.col(id_column), F.col(text_column), F.lit(31))
     spot = 1 + F.pmod(F.xxhash64(F.col(id_column), F.lit(32)), F.greatest(size - 2 * PASSAGE * PASSAGES, F.lit(1)).cast("long"))
     part = F.substring(F.col(text_column).cast("binary"), spot.cast("int"), F.lit(2 * PASSAGE * PASSAGES))
